@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, quality_rules
+from . import decontam, license_scan, line_dedup, quality_rules
 from .tables import table
 
 
@@ -22,7 +22,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_line_dedup, op8_quality_rules, op9_license_scan)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_line_dedup, op8_quality_rules, op9_license_scan, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.clean_sql(),
