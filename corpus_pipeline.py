@@ -1,7 +1,8 @@
 """The corpus pipeline: stages that each apply one operator to all documents that the stage before kept.
 
 A stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of ``documents``. ``run`` writes each
-stage's result to the shared folder and reads it back as the next stage's input.
+stage's result to the shared folder and reads it back as the next stage's input, so that a lost executor costs no more
+than a part of one stage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import line_dedup, quality_rules
+from sediment.llm import decontam, line_dedup, ngram_join, packing, quality_rules
 from sediment.llm.tables import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,8 +28,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs).where(F.trim(F.col("text"), F.lit(" \t\r\n")) != "")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("line_dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that pairs of similar documents connect."""
+    return ngram_join.one_of_each(docs)
 
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that benchmark items have; one that was mostly those goes."""
+    return decontam.remove_spans(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of a fixed number of tokens, filled with the documents' pieces."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminated),
+    ("packing", packed),
+]
+
+#: Groups of similar documents, the automaton and the bitset program have no SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
