@@ -45,15 +45,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import pack, unpack
-from .tables import forget_shuffles, written
+from .blobs import pack, release, releasing, unpack
+from .tables import arrow_batches, forget_shuffles, written
 from .text import mix, ngrams, strings, word_hashes
 
 N = 3
 THRESHOLD = 0.5
 FREQUENT = 256  #: n-grams of more sets are indexed in pairs only
-RANGE = 4_000_000  #: about so many postings are in memory at once in a task
-FLUSH = 3_000_000  #: postings gathered before they are packed
+RANGE = 2_000_000  #: about so many postings are in memory at once in a task
+FLUSH = 1_500_000  #: postings gathered before they are packed
+BATCH = 1000  #: texts, or sets, that go to Python at once
 BLOCK = 2048  #: sets of a home that are verified together
 
 _U = np.uint64
@@ -116,6 +117,8 @@ def _postings(n: int, bits: int, ranges: int):
                     grams, owners, sets, count, docs = [], [], [], 0, 0
         if count:
             yield from flush(grams, owners, sets)
+        del grams, owners, sets
+        release()
 
     return run
 
@@ -127,6 +130,7 @@ def _shared(bits: int, ranges: int, groups: int):
     """The postings of one range -> by group of sets: each set's n-grams here, and which of them others share."""
     low = bits - (ranges - 1).bit_length()
 
+    @releasing
     def run(table: pa.Table) -> pa.Table:
         base = _U(table.column("range")[0].as_py() << low) if ranges > 1 else _U(0)
         parts = [unpack(x.as_buffer()) for x in table.column("blob").combine_chunks()]
@@ -170,6 +174,7 @@ def _shared(bits: int, ranges: int, groups: int):
 def _ordered(threshold: float):
     """One group of sets -> the sets that can have partners, their shared n-grams by frequency."""
 
+    @releasing
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_buffer()) for x in table.column("blob").combine_chunks()]
         ids = [np.cumsum(p[0], dtype=_U) for p in parts]
@@ -285,7 +290,7 @@ def _keys(threshold: float, ranges: int):
     return run
 
 
-def _runs_to_pairs(begins: np.ndarray, lengths: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _runs_to_pairs(begins: np.ndarray, lengths: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of places within each run, at most about ``most`` at a time."""
     for n in np.unique(lengths[lengths > 1]).tolist():
         mine = begins[lengths == n]
@@ -305,9 +310,10 @@ def _runs_to_pairs(begins: np.ndarray, lengths: np.ndarray, most: int = 2_000_00
                     yield b + x[later], b + y[later]
 
 
-def _candidates(threshold: float, ranges: int):
+def _candidates(threshold: float):
     """The index keys of one range -> distinct pairs of sets that the bounds let through."""
 
+    @releasing
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_buffer()) for x in table.column("blob").combine_chunks()]
         # by the signed value, as the rest of the plan compares sets
@@ -322,7 +328,7 @@ def _candidates(threshold: float, ranges: int):
         key, owner, rest = key[order], owner[order], rest[order]
         begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lengths = np.diff(np.append(begins, len(key)))
-        found, waiting, room = [], 0, 6_000_000
+        found, waiting, room = [], 0, 1_500_000
         done = np.zeros(0, np.int64)
         share = threshold / (1 + threshold)
         for i, j in _runs_to_pairs(begins, lengths):
@@ -335,7 +341,7 @@ def _candidates(threshold: float, ranges: int):
             waiting += len(pair)
             if waiting > room:
                 done = np.unique(np.concatenate([done, *found]))
-                found, waiting, room = [], 0, max(6_000_000, len(done))
+                found, waiting, room = [], 0, max(1_500_000, len(done))
         done = np.unique(np.concatenate([done, *found])) if found else done
         return pa.table({"a": pa.array(sets[done >> 32]), "b": pa.array(sets[done & 0xFFFFFFFF])})
 
@@ -348,18 +354,20 @@ def _candidates(threshold: float, ranges: int):
 def _verify(threshold: float):
     """The sets and the pairs of one block -> the pairs that reach the threshold."""
 
+    @releasing
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("set").to_numpy()
         size = table.column("size").to_numpy()
         grams = [unpack(x.as_buffer())[0] for x in table.column("grams").combine_chunks()]
-        partners = pa.array(table.column("partners").to_pylist(), pa.list_(pa.int64()))
+        partners = table.column("partners").combine_chunks()
         ends = np.cumsum([0, *[len(g) for g in grams]])
         vocabulary, coded = np.unique(_concat(grams, _U), return_inverse=True)
         coded = coded.astype(np.int32)
         del grams
         at = np.argsort(ids, kind="stable")
         has = np.zeros(len(vocabulary), bool)
-        offsets, flat = partners.offsets.to_numpy(), partners.values.to_numpy(zero_copy_only=False)
+        offsets, flat = partners.offsets.to_numpy(), partners.flatten().to_numpy(zero_copy_only=False)
+        offsets = offsets - offsets[:1]
         a_out, b_out, j_out = [], [], []
         for k in np.flatnonzero(np.diff(offsets)).tolist():
             others = at[np.searchsorted(ids, flat[offsets[k] : offsets[k + 1]], sorter=at)]
@@ -394,22 +402,28 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     ranges = 1 << max(0, -(-count // RANGE) - 1).bit_length()
     posted = texts.mapInArrow(_postings(n, bits, ranges), "range long, blob binary")
     shared = posted.groupBy("range").applyInArrow(_shared(bits, ranges, ranges), "part long, blob binary")
-    sets = written(shared.groupBy("part").applyInArrow(_ordered(threshold), "set long, size int, n_rare int, grams binary"), "ngram-sets")
+    with arrow_batches(spark, BATCH):
+        sets = written(shared.groupBy("part").applyInArrow(_ordered(threshold), "set long, size int, n_rare int, grams binary"), "ngram-sets")
     del posted, shared
     forget_shuffles(spark)
 
-    keys = sets.mapInArrow(_keys(threshold, max(1, ranges // 4)), "range long, blob binary")
-    pairs = written(keys.groupBy("range").applyInArrow(_candidates(threshold, max(1, ranges // 4)), "a long, b long").distinct(), "ngram-candidates")
-    del keys
+    keys = sets.mapInArrow(_keys(threshold, max(1, ranges // 16)), "range long, blob binary")
+    found = keys.groupBy("range").applyInArrow(_candidates(threshold), "a long, b long")
+    lists = found.groupBy("b").agg(F.collect_set("a").alias("partners")).select("b", "partners", F.array_min("partners").alias("home"))
+    with arrow_batches(spark, BATCH):
+        lists = written(lists, "ngram-candidates")
+    del keys, found
     forget_shuffles(spark)
 
-    homes = pairs.groupBy("b").agg(F.min("a").alias("home"))
-    placed = pairs.join(homes, "b")
-    blocks = placed.select("home", F.explode(F.array("a", "b")).alias("set")).distinct().groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = lists.select("home", F.explode(F.concat("partners", F.array("b"))).alias("set")).distinct()
+    blocks = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    lists = lists.join(blocks, "home")
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    placed = placed.join(blocks, "home").select("home", block("a").alias("x"), block("b").alias("y"), "a", "b")
-    later = placed.groupBy("home", "x", "y", "b").agg(F.collect_list("a").alias("partners")).withColumnRenamed("b", "set")
-    earlier = placed.select("home", "x", "y", F.col("a").alias("set")).distinct().withColumn("partners", F.array().cast("array<bigint>"))
+    whole = lists.where("blocks = 1").select("home", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("b").alias("set"), "partners")
+    cut = lists.where("blocks > 1").select("home", "blocks", "b", F.explode("partners").alias("a")).select("home", block("a").alias("x"), block("b").alias("y"), "a", "b")
+    cut = cut.groupBy("home", "x", "y", F.col("b").alias("set")).agg(F.collect_list("a").alias("partners"))
+    later = whole.unionByName(cut)
+    earlier = later.select("home", "x", "y", F.explode("partners").alias("set")).distinct().withColumn("partners", F.array().cast("array<bigint>"))
     wanted = later.unionByName(earlier).groupBy("home", "x", "y", "set").agg(F.flatten(F.collect_list("partners")).alias("partners"))
     return written(
         wanted.join(sets.select("set", "size", "grams"), "set").groupBy("home", "x", "y").applyInArrow(_verify(threshold), "a long, b long, jaccard double"), "ngram-pairs"
@@ -424,7 +438,9 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     different = pairs.join(left, "a").join(right, "b").where("p <> q").select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"), "jaccard")
     equal = left.join(right.withColumnRenamed("b", "a"), "a").where("p < q").select(F.col("p").alias("doc_a"), F.col("q").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     every = different.unionByName(equal)
-    # only a doc_id that stands with several texts can give a pair twice
+    if not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return every
+    # a doc_id that stands with several texts can give a pair several times
     return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
