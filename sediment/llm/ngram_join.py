@@ -52,7 +52,7 @@ from .text import mix, ngrams, strings, word_hashes
 N = 3
 THRESHOLD = 0.5
 FREQUENT = 256  #: n-grams of more sets are indexed in pairs only
-RANGE = 2_000_000  #: about so many postings are in memory at once in a task
+RANGE = 8_000_000  #: about so many postings are in memory at once in a task
 FLUSH = 1_500_000  #: postings gathered before they are packed
 BATCH = 1000  #: texts, or sets, that go to Python at once
 BLOCK = 2048  #: sets of a home that are verified together
@@ -136,19 +136,35 @@ def _shared(bits: int, ranges: int, groups: int):
         parts = [unpack(x.as_buffer()) for x in table.column("blob").combine_chunks()]
         sets, where = np.unique(_concat([p[0] for p in parts], _U), return_inverse=True)
         starts = np.cumsum([0, *[len(p[0]) for p in parts]])
-        gram = _concat([np.cumsum(p[1], dtype=_U) - base for p in parts], _U)
-        owner = _concat([where[starts[k] : starts[k + 1]][p[2]] for k, p in enumerate(parts)], np.int64)
-        del parts
         width = max(1, len(sets)).bit_length()
+        grams, owners = [], []
+        for k in range(len(parts)):  # one part after the other, so that no two copies of all postings are in memory
+            _, step, local = parts[k]
+            parts[k] = None
+            g, o = np.cumsum(step, dtype=_U) - base, where[starts[k] : starts[k + 1]][local]
+            if low + width <= 64:
+                grams.append(g << _U(width) | o.astype(_U))
+            else:
+                grams.append(g)
+                owners.append(o)
+        del step, local, g, o
+        gram = _concat(grams, _U)
+        del grams
         if low + width <= 64:
-            key = np.unique(gram << _U(width) | owner.astype(_U))
-            gram, owner = key >> _U(width), (key & _U((1 << width) - 1)).astype(np.int64)
+            gram.sort()
+            new = np.ones(len(gram), bool)
+            new[1:] = gram[1:] != gram[:-1]
+            gram = gram[new]
+            owner = (gram & _U((1 << width) - 1)).astype(np.int32)
+            gram >>= _U(width)
         else:
+            owner = _concat(owners, np.int64)
             order = np.lexsort((owner, gram))
             gram, owner = gram[order], owner[order]
             new = np.ones(len(gram), bool)
             new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
             gram, owner = gram[new], owner[new]
+        del new
         begins = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         often = np.diff(np.append(begins, len(gram)))
         sizes = np.bincount(owner, minlength=len(sets))
@@ -324,19 +340,23 @@ def _candidates(threshold: float):
         owner = _concat([where[starts[k] : starts[k + 1]][p[3]] for k, p in enumerate(parts)], np.int64)
         rest = _concat([p[4] for p in parts], np.int64)
         del parts
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((owner, key))
         key, owner, rest = key[order], owner[order], rest[order]
         begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         lengths = np.diff(np.append(begins, len(key)))
+        # two sets of sizes x <= y share at least share * (x + y) n-grams, so 2 * share * x of the smaller one must remain
+        share = threshold / (1 + threshold)
+        own = size[owner].astype(np.float64)
+        part = share * own
+        some = np.logical_or.reduceat(rest >= 2 * part - 1e-9, begins) if len(key) else np.zeros(0, bool)
+        begins, lengths = begins[some], lengths[some]
         found, waiting, room = [], 0, 1_500_000
         done = np.zeros(0, np.int64)
-        share = threshold / (1 + threshold)
         for i, j in _runs_to_pairs(begins, lengths):
-            a, b = owner[i], owner[j]
-            x, y = size[a], size[b]
-            ok = (a != b) & (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (np.minimum(rest[i], rest[j]) >= share * (x + y) - 1e-9)
-            a, b = a[ok], b[ok]
-            pair = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
+            x, y = own[i], own[j]
+            ok = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (np.minimum(rest[i], rest[j]) >= part[i] + part[j] - 1e-9)
+            a, b = owner[i[ok]], owner[j[ok]]  # sorted within a key, so a <= b
+            pair = np.unique((a << 32 | b)[a != b])
             found.append(pair)
             waiting += len(pair)
             if waiting > room:
@@ -407,7 +427,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     del posted, shared
     forget_shuffles(spark)
 
-    keys = sets.mapInArrow(_keys(threshold, max(1, ranges // 16)), "range long, blob binary")
+    keys = sets.mapInArrow(_keys(threshold, max(1, ranges // 4)), "range long, blob binary")
     found = keys.groupBy("range").applyInArrow(_candidates(threshold), "a long, b long")
     lists = found.groupBy("b").agg(F.collect_set("a").alias("partners")).select("b", "partners", F.array_min("partners").alias("home"))
     with arrow_batches(spark, BATCH):
