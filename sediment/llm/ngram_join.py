@@ -54,6 +54,7 @@ THRESHOLD = 0.5
 FREQUENT = 256  #: n-grams of more sets are indexed in pairs only
 RANGE = 8_000_000  #: about so many postings are in memory at once in a task
 FLUSH = 1_500_000  #: postings gathered before they are packed
+MANY = 16  #: sets under one key from which on lists are compared with groups before they are paired
 BATCH = 1000  #: texts, or sets, that go to Python at once
 BLOCK = 2048  #: sets of a home that are verified together
 
@@ -326,6 +327,51 @@ def _runs_to_pairs(begins: np.ndarray, lengths: np.ndarray, most: int = 500_000)
                     yield b + x[later], b + y[later]
 
 
+def _blocks(a: np.ndarray, b: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of two disjoint lists, at most about ``most`` at a time."""
+    step = max(1, most // max(1, len(b)))
+    for k in range(0, len(a) if len(b) else 0, step):
+        part = a[k : k + step]
+        yield np.repeat(part, len(b)), np.tile(b, len(part))
+
+
+def _within(a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a list."""
+    for i, j in _runs_to_pairs(np.zeros(1, np.int64), np.array([len(a)])):
+        yield a[i], a[j]
+
+
+def _pairs_of_lists(lists: Iterator[np.ndarray], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that hold all pairs of all lists, most of them once: lists of a group of copies are much alike.
+
+    A set may be in one group, of which all pairs were given out. Of a list, the pairs within one group are skipped. If the
+    list has half of that group, its other members join the group, and their pairs with all of it are given out;
+    otherwise only those with the list's members are. A list that shares no group by half becomes one.
+    """
+    group = np.full(n, -1, np.int64)
+    members: list[np.ndarray] = []
+    for m in lists:
+        mine = group[m]
+        names, counts = np.unique(mine[mine >= 0], return_counts=True)
+        if not len(names) or 2 * counts.max() < len(m):
+            yield from _within(m)
+            group[m] = len(members)
+            members.append(m)
+            continue
+        g = int(names[np.argmax(counts)])
+        rest = m[mine != g]
+        if not len(rest):
+            continue
+        # members that have left for another group since are still paired with those that stayed
+        whole = members[g][group[members[g]] == g]
+        joins = 2 * counts.max() >= len(whole)
+        yield from _within(rest)
+        yield from _blocks(rest, whole if joins else m[mine == g])
+        if joins:
+            group[rest] = g
+            members[g] = np.concatenate([whole, rest])
+
+
 def _candidates(threshold: float):
     """The index keys of one range -> distinct pairs of sets that the bounds let through."""
 
@@ -352,16 +398,27 @@ def _candidates(threshold: float):
         begins, lengths = begins[some], lengths[some]
         found, waiting, room = [], 0, 1_500_000
         done = np.zeros(0, np.int64)
-        for i, j in _runs_to_pairs(begins, lengths):
-            x, y = own[i], own[j]
-            ok = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (np.minimum(rest[i], rest[j]) >= part[i] + part[j] - 1e-9)
-            a, b = owner[i[ok]], owner[j[ok]]  # sorted within a key, so a <= b
-            pair = np.unique((a << 32 | b)[a != b])
+
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal found, waiting, room, done
+            pair = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
             found.append(pair)
             waiting += len(pair)
             if waiting > room:
                 done = np.unique(np.concatenate([done, *found]))
                 found, waiting, room = [], 0, max(1_500_000, len(done))
+
+        short = lengths < MANY
+        for i, j in _runs_to_pairs(begins[short], lengths[short]):
+            x, y = own[i], own[j]
+            ok = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (np.minimum(rest[i], rest[j]) >= part[i] + part[j] - 1e-9) & (owner[i] != owner[j])
+            keep(owner[i[ok]], owner[j[ok]])
+        order = np.argsort(-lengths[~short], kind="stable")
+        lists = (np.unique(owner[b : b + n]) for b, n in zip(begins[~short][order].tolist(), lengths[~short][order].tolist(), strict=True))
+        for a, b in _pairs_of_lists(lists, len(sets)):
+            x, y = size[a], size[b]
+            ok = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9
+            keep(a[ok], b[ok])
         done = np.unique(np.concatenate([done, *found])) if found else done
         return pa.table({"a": pa.array(sets[done >> 32]), "b": pa.array(sets[done & 0xFFFFFFFF])})
 

@@ -58,6 +58,9 @@ def test_pairs_equal_brute_force(spark, monkeypatch, frequent, t, n, small):
             monkeypatch.setattr(J, "RANGE", 300)
             monkeypatch.setattr(J, "FLUSH", 200)
             monkeypatch.setattr(J, "BLOCK", 5)
+            monkeypatch.setattr(J, "MANY", 3)
+            if n == 1:  # hashes of full width, as of a very large corpus
+                monkeypatch.setattr(J, "_bits", lambda _: 64)
         rows = corpus(n * 10 + frequent, words=12 if n < 3 else 6)
         got = {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in J.similar_pairs(frame(spark, rows), n, t).collect()}
         assert got == brute(rows, n, t)
@@ -121,3 +124,14 @@ def test_groups_are_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (100, 301)]
     got = {r.set: r.group for r in J.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 200, 300, 301), 100)}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_lists_give_all_their_pairs(seed):
+    r = random.Random(seed)
+    groups = [list(range(0, 30)), list(range(25, 60)), list(range(60, 64))]
+    lists = [np.array(sorted({x for x in r.choice(groups) if r.random() < r.choice([0.2, 0.6, 0.95])} | {r.randrange(64)}), np.int64) for _ in range(40)]
+    lists.sort(key=len, reverse=r.random() < 0.7)
+    got = [(min(x, y), max(x, y)) for a, b in J._pairs_of_lists(iter(lists), 64) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert all(x != y for x, y in got)
+    assert set(got) >= {p for m in lists for p in itertools.combinations(m.tolist(), 2)}
