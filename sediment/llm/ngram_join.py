@@ -16,8 +16,9 @@ text, and are joined as one; n-grams are known by ``log2(their number) + 22`` bi
    than the threshold allows. The number of classes grows with the sets' sizes: a small set must be able to reach its
    count. It is taken from the smaller set's size band, so a set is indexed for its own band and those below that can
    hold partners.
-4. Sets that share an index key and pass the bounds on size and on remaining n-grams are candidates. Each later set's
-   candidates are verified where its least partner is at home, so that the sets of a group of copies come together
+4. Sets that share an index key and pass the bounds on size and on remaining n-grams are candidates. Groups of copies
+   share hundreds of keys, so long lists of sets under one key are compared with groups that were paired before, and only
+   what is new in them is paired; this may add candidates, never take one away. Each later set's candidates are verified where its least partner is at home, so that the sets of a group of copies come together
    once; a home with many sets is cut into blocks.
 
 Memory in each task is bounded by the sizes of ranges and blocks, which don't depend on the corpus; only the numbers of
