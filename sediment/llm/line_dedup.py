@@ -11,7 +11,8 @@ of hosts in which AQE splits hot ones.
 Defined results:
 
 * a line is compared without leading and trailing spaces, tabs and carriage returns; blank lines are never dropped;
-* a line counts once a page, however often it stands there; repeated rows are pages of their own;
+* a line counts once a page, however often it stands there; in ``clean_lines``, as in its SQL, repeated rows are pages of
+  their own; ``drop_boilerplate`` counts copies of a document as one page, see ``boilerplate_apart``;
 * a null text stays null and counts as a page without lines; an empty one stays empty;
 * null and empty hosts are one host;
 * lines are told apart by 64-bit hashes;
@@ -48,12 +49,41 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
     return counts.join(total, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("total")).groupBy("host").agg(F.array_sort(F.collect_set("line")).alias("bad"))
 
 
-def _cleaned(docs: DataFrame, host: str, ratio: float, least_pages: int) -> DataFrame:
-    """``docs`` as the struct column ``row`` and ``bad``; the struct keeps the input's names out of the way."""
-    bad = written(boilerplate(docs, host, ratio, least_pages), "boilerplate")
+def boilerplate_apart(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """The same, but only lines that stand in otherwise different pages.
+
+    Pages with the same lines are one page. Lines that pass the ratio among those are looked at again: pages of which
+    such lines are half of the characters or more, as near copies are, count as one page if their longest such line is
+    the same. The ratio is then taken once more, of the pages so counted.
+    """
+    trimmed = F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda x: x != "")
+    lines = F.array_sort(F.array_distinct(F.transform(trimmed, lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("line")))))
+    pages = written(docs.select(_host(docs, host).alias("host"), F.coalesce(lines, F.array().cast("array<struct<n:int,line:bigint>>")).alias("lines")).distinct(), "line-sets")
+
+    def passing(of: DataFrame, key: list[str]) -> DataFrame:
+        total = of.select("host", *key).distinct().groupBy("host") if key else of.groupBy("host")
+        counts = of.select("host", *key, F.explode("lines.line").alias("line"))
+        counts = (counts.distinct() if key else counts).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+        return counts.join(total.agg(F.count(F.lit(1)).alias("total")), "host").where(F.col("n") > F.lit(float(ratio)) * F.col("total")).groupBy("host").agg(F.array_sort(F.collect_set("line")).alias("bad"))
+
+    maybe = written(passing(pages, []), "boilerplate-maybe")
+    shared = F.filter("lines", lambda x: F.array_contains("bad", x["line"]))
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    met = _joined(pages, maybe).select("host", "lines", F.coalesce(shared, F.array().cast("array<struct<n:int,line:bigint>>")).alias("shared"))
+    own = size(F.col("shared")) * 2 < size(F.col("lines"))
+    key = F.when(own | (F.size("shared") == 0), F.xxhash64("lines")).otherwise(F.array_max("shared")["line"])
+    return passing(met.select("host", key.alias("page"), F.col("shared").alias("lines")), ["page"])
+
+
+def _joined(rows: DataFrame, bad: DataFrame) -> DataFrame:
     size = bad.agg(F.coalesce(F.sum(F.size("bad")), F.lit(0)).alias("n")).first()["n"]
+    return rows.join(F.broadcast(bad) if size <= BROADCAST_LINES else bad, "host", "left")
+
+
+def _cleaned(docs: DataFrame, host: str, bad: DataFrame) -> DataFrame:
+    """``docs`` as the struct column ``row`` and ``bad``; the struct keeps the input's names out of the way."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _host(docs, host).alias("host"))
-    return rows.join(F.broadcast(bad) if size <= BROADCAST_LINES else bad, "host", "left").select("row", "bad")
+    return _joined(rows, written(bad, "boilerplate")).select("row", "bad")
 
 
 def _kept(text: Column, bad: Column) -> Column:
@@ -62,8 +92,8 @@ def _kept(text: Column, bad: Column) -> Column:
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``docs`` with the boilerplate lines taken out of ``text``; ``n_chars`` follows the text."""
-    rows = _cleaned(docs, host, ratio, least_pages)
+    """``docs`` with the lines of ``boilerplate_apart`` taken out of ``text``; ``n_chars`` follows the text."""
+    rows = _cleaned(docs, host, boilerplate_apart(docs, host, ratio, least_pages))
     at = {c.lower(): c for c in docs.columns}["text"]
     replaced = rows.select(F.col("row").withField(at, _kept(F.col("row")[at], F.col("bad"))).alias("row")).select("row.*")
     return with_text(replaced, F.col(at))
@@ -71,7 +101,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
 
 def clean_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``doc_id``, the text that stays, and its numbers of lines before and after: one row for each input row."""
-    rows = _cleaned(docs, host, ratio, least_pages)
+    rows = _cleaned(docs, host, boilerplate(docs, host, ratio, least_pages))
     out = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("was"), _kept(F.col("row.text"), F.col("bad")).alias("text"))
     count = lambda c: F.coalesce(F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return out.select("doc_id", "text", F.when(F.col("was") == "", 0).otherwise(count(F.col("was"))).cast("long").alias("n_lines"), F.when(F.col("text") == "", 0).otherwise(count(F.col("text"))).cast("long").alias("n_kept"))

@@ -88,6 +88,18 @@ def test_line_dedup(spark, duck, monkeypatch):
     assert line_dedup.clean_lines(frame(spark).limit(0)).count() == line_dedup.drop_boilerplate(frame(spark).limit(0)).count() == 0
 
 
+def test_copies_are_no_boilerplate(spark):
+    body = [f"Sentence {k} of a document that was copied around." for k in range(8)]
+    near = [(i, "\n".join([BOILER, *body[:i], f"edit {i}", *body[i + 1 :]]), "h") for i in range(8)]
+    exact = [(20 + i, "\n".join([BOILER, "A text in two lines that is there", "twelve times, each time the same."]), "h") for i in range(12)]
+    pages = [(100 + i, f"{BOILER}\nPage number {i} of this host has its own words", "h") for i in range(60)]
+    few = [(200 + i, f"A line of ten pages\nwith page {i} beside it, and a rest", "few") for i in range(10)] + [(300 + i, "one text, many times", "few") for i in range(400)]
+    rows_ = near + exact + pages + few
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(frame(spark, rows_)).collect()}
+    want = {i: t.removeprefix(BOILER + "\n").removeprefix("A line of ten pages\n") for i, t, _ in rows_}
+    assert got == want
+
+
 def test_license_scan(spark, duck):
     got = license_scan.scan(frame(spark))
     same_as_sql(duck, got, license_scan.scan_sql())
