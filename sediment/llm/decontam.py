@@ -10,8 +10,9 @@ words the shortest removable run has; a text with such a run has as many success
 numpy looks for those in all texts, and the automaton reads every word of the texts that have them. That changes no
 span, only where Python loops run.
 
-The automaton grows with the benchmark, not with the corpus. Of more than ``PASS_WORDS`` benchmark words, each further
-lot is another pass over what the one before left.
+The automaton grows with the benchmark, not with the corpus. More than ``PASS_WORDS`` benchmark words are put into several
+automata. Each searches the original text, the best run of all is taken at each word, and the text is cut once, so the
+lots' number and bounds change no result; a worker holds all of them.
 
 Defined results:
 
@@ -59,7 +60,7 @@ class Automaton:
                 self._mark(p, self.item[v], self.shortest[v])
 
     def _mark(self, v: int, item: int, length: int) -> None:
-        if length < self.shortest[v]:
+        if (length, item) < (self.shortest[v], self.item[v]):
             self.item[v], self.shortest[v] = item, length
 
     def _state(self, length: int, link: int, nxt: dict[int, int]) -> int:
@@ -115,6 +116,11 @@ class Limits(NamedTuple):
     drop: float = DROP
 
 
+#: of a run: its length, the length of the shortest item that has it, below zero, and that item
+End = tuple[int, int, int | None]
+NO_END: End = (0, 0, None)
+
+
 class Index:
     """The automaton, the numbers of its words, and the hashed pairs for the look over all texts."""
 
@@ -147,24 +153,23 @@ class Index:
     def hashed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - self.PAIR_BITS)
 
-    def spans(self, words: list[int]) -> tuple[list[tuple[int, int]], int, set[int]]:
-        """Word spans to remove, the longest match, and the items that they came from."""
-        a, lim = self.automaton, self.limits
-        out: list[tuple[int, int]] = []
-        longest, found = 0, set()
-        for i, (v, n) in enumerate(a.matches(words)):
+    def ends(self, words: list[int]) -> tuple[list[End], int]:
+        """Of each word, the longest run to remove that ends there; and the longest match of all."""
+        a, out, longest = self.automaton, [], 0
+        for v, n in a.matches(words):
             longest = max(longest, n)
             if not self._enough(v, n):
                 # a shorter run that ends here may cover more of a shorter item
                 v = self.suffix[a.link[v]] if v else 0
                 n = a.length[v]
-            if n:
-                found.add(self.ids[a.item[v]])
-                start = i - n + 1
-                while out and out[-1][1] >= start:
-                    start = min(start, out.pop()[0])
-                out.append((start, i + 1))
-        return out, longest, found
+            out.append((n, -a.shortest[v], self.ids[a.item[v]]) if n else NO_END)
+        return out, longest
+
+    def spans(self, words: list[int]) -> tuple[list[tuple[int, int]], int, set[int]]:
+        """Word spans to remove, the longest match, and the items that they came from."""
+        ends, longest = self.ends(words)
+        spans, found = spans_of(ends)
+        return spans, longest, found
 
     def _candidates(self, flat: np.ndarray, offs: np.ndarray) -> list[int]:
         """Texts with ``least - 1`` successive pairs of words that are pairs of the items, by their hashes."""
@@ -181,29 +186,54 @@ class Index:
         starts = at[: len(at) - need + 1][at[need - 1 :] - at[: len(at) - need + 1] == need - 1] if len(at) >= need else at[:0]
         return np.unique(np.searchsorted(offs, starts, "right") - 1).tolist()
 
-    def search(self, texts: pa.Array) -> tuple[np.ndarray, dict[int, tuple]]:
-        """Words of each text; for those with any long match, spans of words and characters, longest match, items."""
-        distinct, at, offsets = runs(texts)
-        if not len(at):
-            return np.diff(offsets), {}
-        word = words_of(distinct)
-        number = pa.compute.index_in(word, self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+def spans_of(ends: list[End]) -> tuple[list[tuple[int, int]], set[int]]:
+    """The runs that end at each word as spans that neither overlap nor adjoin, and the runs' items."""
+    out: list[tuple[int, int]] = []
+    found = set()
+    for i, (n, _, item) in enumerate(ends):
+        if n:
+            found.add(item)
+            start = i - n + 1
+            while out and out[-1][1] >= start:
+                start = min(start, out.pop()[0])
+            out.append((start, i + 1))
+    return out, found
+
+
+def search(indexes: list[Index], texts: pa.Array) -> tuple[np.ndarray, dict[int, tuple]]:
+    """Words of each text; for those with any long match, spans of words and characters, longest match, items."""
+    distinct, at, offsets = runs(texts)
+    if not len(at):
+        return np.diff(offsets), {}
+    word = words_of(distinct)
+    no_word = pa.compute.equal(word, "").to_numpy(zero_copy_only=False)
+    is_word = ~no_word[at]
+    _, offs = compact(at, is_word, offsets)
+    best: dict[int, tuple[list[End], int]] = {}
+    for index in indexes:
         # 0: a word of no item; -1: no word at all
-        number = np.where(pa.compute.equal(word, "").to_numpy(zero_copy_only=False), -1, number).astype(np.int32)[at]
-        is_word = number >= 0
-        flat, offs = compact(number, is_word, offsets)
-        found: dict[int, tuple] = {}
-        for t in self._candidates(flat, offs):
-            spans, longest, items = self.spans(flat[offs[t] : offs[t + 1]].tolist())
-            where: list[tuple[int, int]] = []
-            if spans:
-                mine = slice(offsets[t], offsets[t + 1])
-                # leading and trailing white space leaves empty pieces, which are no runs
-                run = np.array([x != "" for x in distinct.take(pa.array(at[mine])).to_pylist()], bool)
-                places = [m.span() for m in RUN.finditer(texts[t].as_py())]
-                where = [p for p, w in zip(places, is_word[mine][run].tolist(), strict=True) if w]
-            found[t] = (spans, [(where[a][0], where[b - 1][1]) for a, b in spans], longest, items)
-        return np.diff(offs), found
+        number = pa.compute.index_in(word, index.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        flat = np.where(no_word, -1, number).astype(np.int32)[at][is_word]
+        for t in index._candidates(flat, offs):
+            ends, longest = index.ends(flat[offs[t] : offs[t + 1]].tolist())
+            if t in best:
+                # as in one automaton: the longest run, of that the shortest item, of those the first
+                was, most = best[t]
+                ends, longest = [x if x[:2] >= y[:2] else y for x, y in zip(was, ends, strict=True)], max(most, longest)
+            best[t] = ends, longest
+    found: dict[int, tuple] = {}
+    for t, (ends, longest) in sorted(best.items()):
+        spans, items = spans_of(ends)
+        where: list[tuple[int, int]] = []
+        if spans:
+            mine = slice(offsets[t], offsets[t + 1])
+            # leading and trailing white space leaves empty pieces, which are no runs
+            run = np.array([x != "" for x in distinct.take(pa.array(at[mine])).to_pylist()], bool)
+            places = [m.span() for m in RUN.finditer(texts[t].as_py())]
+            where = [p for p, w in zip(places, is_word[mine][run].tolist(), strict=True) if w]
+        found[t] = (spans, [(where[a][0], where[b - 1][1]) for a, b in spans], longest, items)
+    return np.diff(offs), found
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -233,56 +263,51 @@ def read_items(benchmark: DataFrame) -> list[list[tuple[int, list[str]]]]:
     return lots
 
 
+def _broadcast(docs: DataFrame, benchmark: DataFrame, limits: Limits) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(Index(lot, limits)) for lot in read_items(benchmark)]
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``docs`` without the spans, and without the documents that were mostly spans."""
     at = {c.lower(): c for c in docs.columns}["text"]
-    for lot in read_items(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(lot, limits))
+    shared = _broadcast(docs, benchmark, limits)
 
-        def cut(batches, shared=shared):
-            for b in batches:
-                n_words, found = shared.value.search(strings(b.column(at)))
-                keep = np.ones(b.num_rows, bool)
-                if found:
-                    text = b.column(at).to_pylist()
-                    for t, (spans, chars, _, _) in found.items():
-                        keep[t] = sum(j - i for i, j in spans) <= limits.drop * n_words[t]
-                        text[t] = _cut(text[t], chars)
-                    b = b.set_column(b.schema.get_field_index(at), b.schema.field(at), pa.array(text, b.schema.field(at).type))
-                yield b.filter(pa.array(keep))
+    def cut(batches):
+        for b in batches:
+            n_words, found = search([s.value for s in shared], strings(b.column(at)))
+            keep = np.ones(b.num_rows, bool)
+            if found:
+                text = b.column(at).to_pylist()
+                for t, (spans, chars, _, _) in found.items():
+                    keep[t] = sum(j - i for i, j in spans) <= limits.drop * n_words[t]
+                    text[t] = _cut(text[t], chars)
+                b = b.set_column(b.schema.get_field_index(at), b.schema.field(at), pa.array(text, b.schema.field(at).type))
+            yield b.filter(pa.array(keep))
 
-        docs = with_text(docs.mapInArrow(cut, docs.schema), F.col(at))
-    return docs
+    return with_text(docs.mapInArrow(cut, docs.schema), F.col(at)) if shared else docs
 
 
 def report(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each document: the text that stays (null where the whole document goes), how many words and spans
     were removed, the longest match, the items found, and ``keep``."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, n_spans int, n_removed long, longest int, items array<bigint>, keep boolean"
-    lots = read_items(benchmark)
-    shared = [docs.sparkSession.sparkContext.broadcast(Index(lot, limits)) for lot in lots]
+    shared = _broadcast(docs, benchmark, limits)
 
     def look(batches):
         for b in batches:
             n = b.num_rows
             original = strings(b.column(1)) if n else pa.array([], pa.string())
-            text, words = b.column(1), None
+            text = b.column(1)
+            words, found = search([s.value for s in shared], original)
             n_spans, removed, longest = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int32)
             items: list[list[int]] = [[] for _ in range(n)]
-            for s in shared:
-                now, found = s.value.search(strings(text))
-                words = now if words is None else words
-                if found:
-                    values = text.to_pylist()
-                    for t, (spans, chars, most, whose) in found.items():
-                        n_spans[t] += len(spans)
-                        removed[t] += sum(j - i for i, j in spans)
-                        longest[t] = max(longest[t], most)
-                        items[t] = sorted({*items[t], *whose})
-                        values[t] = _cut(values[t], chars)
-                    text = pa.array(values, pa.string())
-            if words is None:
-                words = np.array([len(word_list(x)) for x in original.to_pylist()], np.int64)
+            if found:
+                values = text.to_pylist()
+                for t, (spans, chars, most, whose) in found.items():
+                    n_spans[t], removed[t], longest[t] = len(spans), sum(j - i for i, j in spans), most
+                    items[t] = sorted(whose)
+                    values[t] = _cut(values[t], chars)
+                text = pa.array(values, pa.string())
             keep = removed <= limits.drop * words
             text = pa.compute.if_else(pa.array(keep), text.cast(pa.string()), pa.scalar(None, pa.string()))
             yield pa.record_batch([b.column(0), text, pa.array(words, pa.int64()), pa.array(n_spans), pa.array(removed), pa.array(longest), pa.array(items, pa.list_(pa.int64())), pa.array(keep)], names=["doc_id", "text", "n_words", "n_spans", "n_removed", "longest", "items", "keep"])

@@ -77,3 +77,23 @@ def test_further_passes(spark, monkeypatch):
     d = docs(spark, [(1, "x " * 40 + "a b c d e f g y y y h i j k l m n", "en", "s", 3, "x", 1)])
     r = D.report(d, bench).first()
     assert r.items == [1, 2] and r.n_removed == 14 and word_list(D.remove_spans(d, bench).first().text) == ["x"] * 40 + ["y"] * 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lots_change_nothing(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    bench = spark.createDataFrame([(k, " ".join(r.choice("abcd") for _ in range(r.randint(4, 9)))) for k in range(8)], "item_id long, text string")
+    d = docs(spark, [(i, " ".join(r.choice("aabbccddx") for _ in range(r.randint(0, 60))), "en", "s", 3, "x", 1) for i in range(60)])
+    lim = D.Limits(length=6, coverage=0.75, floor=3, drop=0.5)
+    both = lambda: [sorted(map(str, f(d, bench, lim).drop("longest").collect())) for f in (D.report, D.remove_spans)]
+    one = both()
+    monkeypatch.setattr(D, "PASS_WORDS", 9)
+    assert len(D.read_items(bench)) > 3 and both() == one
+
+
+def test_drop_sums_over_lots(spark, monkeypatch):
+    monkeypatch.setattr(D, "PASS_WORDS", 5)
+    bench = spark.createDataFrame([(1, "a b c d e f g"), (2, "f g h i j k l")], "item_id long, text string")
+    d = docs(spark, [(1, "x " * 9 + "a b c d e f g h i j k l", "en", "s", 3, "x", 1)])
+    r = D.report(d, bench).first()
+    assert (r.n_spans, r.n_removed, r.items, r.keep) == (1, 12, [1, 2], False) and D.remove_spans(d, bench).count() == 0
