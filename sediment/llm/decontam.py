@@ -7,8 +7,9 @@ it, from ``FLOOR`` words on). A document of which more than ``DROP`` of the word
 
 The documents are scanned once, in Arrow batches, and never shuffled. The items' lengths and the limits say how many
 words the shortest removable run has; a text with such a run has as many successive word pairs of the items, less one.
-numpy looks for those in all texts, and the automaton reads every word of the texts that have them. That changes no
-span, only where Python loops run.
+numpy looks for those in all texts, and the automaton reads every word of the texts that have them. For the longest match
+of ``report``, the automaton reads of all texts the stretches of successive pairs of the items, as no match of two words
+or more goes beyond one. That changes no result, only where Python loops run.
 
 The automaton grows with the benchmark, not with the corpus. More than ``PASS_WORDS`` benchmark words are put into several
 automata. Each searches the original text, the best run of all is taken at each word, and the text is cut once, so the
@@ -153,39 +154,54 @@ class Index:
     def hashed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - self.PAIR_BITS)
 
-    def ends(self, words: list[int]) -> tuple[list[End], int]:
-        """Of each word, the longest run to remove that ends there; and the longest match of all."""
-        a, out, longest = self.automaton, [], 0
+    def ends(self, words: list[int]) -> list[End]:
+        """Of each word, the longest run to remove that ends there."""
+        a, out = self.automaton, []
         for v, n in a.matches(words):
-            longest = max(longest, n)
             if not self._enough(v, n):
                 # a shorter run that ends here may cover more of a shorter item
                 v = self.suffix[a.link[v]] if v else 0
                 n = a.length[v]
             out.append((n, -a.shortest[v], self.ids[a.item[v]]) if n else NO_END)
-        return out, longest
+        return out
 
     def spans(self, words: list[int]) -> tuple[list[tuple[int, int]], int, set[int]]:
         """Word spans to remove, the longest match, and the items that they came from."""
-        ends, longest = self.ends(words)
-        spans, found = spans_of(ends)
-        return spans, longest, found
+        spans, found = spans_of(self.ends(words))
+        return spans, max((n for _, n in self.automaton.matches(words)), default=0), found
 
-    def _candidates(self, flat: np.ndarray, offs: np.ndarray) -> list[int]:
-        """Texts with ``least - 1`` successive pairs of words that are pairs of the items, by their hashes."""
-        need = self.least - 1
-        if len(flat) <= need:
-            return []
+    def _pairs_at(self, flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Where successive words of a text are a pair of the items, by their hashes."""
+        if len(flat) < 2:
+            return np.zeros(0, np.int64)
         hit = (flat[:-1] > 0) & (flat[1:] > 0)
         inner = offs[1:-1]
         hit[inner[(inner > 0) & (inner < len(flat))] - 1] = False
         at = np.flatnonzero(hit)
         pairs = flat.view(np.uint32)
-        at = at[self.pairs[self.hashed(pairs[at], pairs[at + 1])]]
+        return at[self.pairs[self.hashed(pairs[at], pairs[at + 1])]]
+
+    def _candidates(self, at: np.ndarray, offs: np.ndarray) -> list[int]:
+        """Texts with ``least - 1`` successive pairs, whose places are ``at``."""
+        need = self.least - 1
         # places that are followed by need - 1 more, without a gap
         starts = at[: len(at) - need + 1][at[need - 1 :] - at[: len(at) - need + 1] == need - 1] if len(at) >= need else at[:0]
         return np.unique(np.searchsorted(offs, starts, "right") - 1).tolist()
 
+    def _longest(self, flat: np.ndarray, offs: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The longest match of each text, which is one word or lies within successive pairs, whose places are ``at``."""
+        known = np.concatenate(([0], np.cumsum(flat > 0)))
+        out = (known[offs[1:]] > known[offs[:-1]]).astype(np.int32)
+        first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        begin, size = at[first], np.diff(first, append=len(at)) + 1
+        text = np.searchsorted(offs, begin, "right") - 1
+        best = out.tolist()
+        for k in np.lexsort((-size, text)).tolist():
+            t, b, n = int(text[k]), int(begin[k]), int(size[k])
+            if n > best[t]:
+                best[t] = max(best[t], max(m for _, m in self.automaton.matches(flat[b : b + n].tolist())))
+        return np.array(best, np.int32)
+
 
 def spans_of(ends: list[End]) -> tuple[list[tuple[int, int]], set[int]]:
     """The runs that end at each word as spans that neither overlap nor adjoin, and the runs' items."""
@@ -201,29 +217,30 @@ def spans_of(ends: list[End]) -> tuple[list[tuple[int, int]], set[int]]:
     return out, found
 
 
-def search(indexes: list[Index], texts: pa.Array) -> tuple[np.ndarray, dict[int, tuple]]:
-    """Words of each text; for those with any long match, spans of words and characters, longest match, items."""
+def search(indexes: list[Index], texts: pa.Array, with_longest: bool = False) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
+    """Words and, on demand, the longest match of each text; for those with any to remove, spans of words and characters, items."""
     distinct, at, offsets = runs(texts)
+    longest = np.zeros(len(texts), np.int32)
     if not len(at):
-        return np.diff(offsets), {}
+        return np.diff(offsets), longest, {}
     word = words_of(distinct)
     no_word = pa.compute.equal(word, "").to_numpy(zero_copy_only=False)
     is_word = ~no_word[at]
     _, offs = compact(at, is_word, offsets)
-    best: dict[int, tuple[list[End], int]] = {}
+    best: dict[int, list[End]] = {}
     for index in indexes:
         # 0: a word of no item; -1: no word at all
         number = pa.compute.index_in(word, index.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         flat = np.where(no_word, -1, number).astype(np.int32)[at][is_word]
-        for t in index._candidates(flat, offs):
-            ends, longest = index.ends(flat[offs[t] : offs[t + 1]].tolist())
-            if t in best:
-                # as in one automaton: the longest run, of that the shortest item, of those the first
-                was, most = best[t]
-                ends, longest = [x if x[:2] >= y[:2] else y for x, y in zip(was, ends, strict=True)], max(most, longest)
-            best[t] = ends, longest
+        pairs = index._pairs_at(flat, offs)
+        if with_longest:
+            longest = np.maximum(longest, index._longest(flat, offs, pairs))
+        for t in index._candidates(pairs, offs):
+            ends = index.ends(flat[offs[t] : offs[t + 1]].tolist())
+            # as in one automaton: the longest run, of that the shortest item, of those the first
+            best[t] = [x if x[:2] >= y[:2] else y for x, y in zip(best[t], ends, strict=True)] if t in best else ends
     found: dict[int, tuple] = {}
-    for t, (ends, longest) in sorted(best.items()):
+    for t, ends in sorted(best.items()):
         spans, items = spans_of(ends)
         where: list[tuple[int, int]] = []
         if spans:
@@ -232,8 +249,8 @@ def search(indexes: list[Index], texts: pa.Array) -> tuple[np.ndarray, dict[int,
             run = np.array([x != "" for x in distinct.take(pa.array(at[mine])).to_pylist()], bool)
             places = [m.span() for m in RUN.finditer(texts[t].as_py())]
             where = [p for p, w in zip(places, is_word[mine][run].tolist(), strict=True) if w]
-        found[t] = (spans, [(where[a][0], where[b - 1][1]) for a, b in spans], longest, items)
-    return np.diff(offs), found
+        found[t] = (spans, [(where[a][0], where[b - 1][1]) for a, b in spans], items)
+    return np.diff(offs), longest, found
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -274,11 +291,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
 
     def cut(batches):
         for b in batches:
-            n_words, found = search([s.value for s in shared], strings(b.column(at)))
+            n_words, _, found = search([s.value for s in shared], strings(b.column(at)))
             keep = np.ones(b.num_rows, bool)
             if found:
                 text = b.column(at).to_pylist()
-                for t, (spans, chars, _, _) in found.items():
+                for t, (spans, chars, _) in found.items():
                     keep[t] = sum(j - i for i, j in spans) <= limits.drop * n_words[t]
                     text[t] = _cut(text[t], chars)
                 b = b.set_column(b.schema.get_field_index(at), b.schema.field(at), pa.array(text, b.schema.field(at).type))
@@ -298,13 +315,13 @@ def report(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) ->
             n = b.num_rows
             original = strings(b.column(1)) if n else pa.array([], pa.string())
             text = b.column(1)
-            words, found = search([s.value for s in shared], original)
-            n_spans, removed, longest = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int32)
+            words, longest, found = search([s.value for s in shared], original, with_longest=True)
+            n_spans, removed = np.zeros(n, np.int32), np.zeros(n, np.int64)
             items: list[list[int]] = [[] for _ in range(n)]
             if found:
                 values = text.to_pylist()
-                for t, (spans, chars, most, whose) in found.items():
-                    n_spans[t], removed[t], longest[t] = len(spans), sum(j - i for i, j in spans), most
+                for t, (spans, chars, whose) in found.items():
+                    n_spans[t], removed[t] = len(spans), sum(j - i for i, j in spans)
                     items[t] = sorted(whose)
                     values[t] = _cut(values[t], chars)
                 text = pa.array(values, pa.string())

@@ -85,7 +85,7 @@ def test_lots_change_nothing(spark, monkeypatch, seed):
     bench = spark.createDataFrame([(k, " ".join(r.choice("abcd") for _ in range(r.randint(4, 9)))) for k in range(8)], "item_id long, text string")
     d = docs(spark, [(i, " ".join(r.choice("aabbccddx") for _ in range(r.randint(0, 60))), "en", "s", 3, "x", 1) for i in range(60)])
     lim = D.Limits(length=6, coverage=0.75, floor=3, drop=0.5)
-    both = lambda: [sorted(map(str, f(d, bench, lim).drop("longest").collect())) for f in (D.report, D.remove_spans)]
+    both = lambda: [sorted(map(str, f(d, bench, lim).collect())) for f in (D.report, D.remove_spans)]
     one = both()
     monkeypatch.setattr(D, "PASS_WORDS", 9)
     assert len(D.read_items(bench)) > 3 and both() == one
@@ -97,3 +97,14 @@ def test_drop_sums_over_lots(spark, monkeypatch):
     d = docs(spark, [(1, "x " * 9 + "a b c d e f g h i j k l", "en", "s", 3, "x", 1)])
     r = D.report(d, bench).first()
     assert (r.n_spans, r.n_removed, r.items, r.keep) == (1, 12, [1, 2], False) and D.remove_spans(d, bench).count() == 0
+
+
+@pytest.mark.parametrize("limits", [D.Limits(), D.Limits(length=6, coverage=0.75, floor=3)])
+def test_longest_equals_brute_force(spark, limits):
+    r = random.Random(7)
+    items = [[r.choice("abcdefgh") for _ in range(20)] for _ in range(5)]
+    held = {tuple(it[i:j]) for it in items for i in range(20) for j in range(i + 1, 21)}
+    texts = [[r.choice("abcdefghxy") for _ in range(r.randint(0, 50))] + items[k % 5][3 : 3 + k % 14] + ["x", "zz"] for k in range(60)] + [["zz"], ["a"], []]
+    d = docs(spark, [(k, " ".join(t), "en", "s", 3, "x", 1) for k, t in enumerate(texts)])
+    got = {x.doc_id: x.longest for x in D.report(d, spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string"), limits).collect()}
+    assert got == {k: max((j - i for i in range(len(t)) for j in range(i + 1, min(len(t), i + 20) + 1) if tuple(t[i:j]) in held), default=0) for k, t in enumerate(texts)}
