@@ -18,6 +18,7 @@ lots' number and bounds change no result; a worker holds all of them.
 Defined results:
 
 * words are compared in lower case and without punctuation (see ``text``); benchmark items without words match nothing;
+* passages of items without an identifier go as well; ``items`` names none for them;
 * overlapping and adjoining runs are one span; a span goes from its first word's first to its last word's last character,
   and one space or line end beside it goes too;
 * null texts stay null, empty ones empty, both without spans; very long texts are read whole;
@@ -269,7 +270,7 @@ def read_items(benchmark: DataFrame) -> list[list[tuple[int, list[str]]]]:
     """The items' words in lots of at most ``PASS_WORDS`` words, an item at least."""
     lots: list[list[tuple[int, list[str]]]] = []
     room = 0
-    for r in benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator(prefetchPartitions=True):
+    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator(prefetchPartitions=True):
         if not (ws := word_list(r["text"])):
             continue
         if len(ws) > room:
@@ -322,7 +323,7 @@ def report(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) ->
                 values = text.to_pylist()
                 for t, (spans, chars, whose) in found.items():
                     n_spans[t], removed[t] = len(spans), sum(j - i for i, j in spans)
-                    items[t] = sorted(whose)
+                    items[t] = sorted(i for i in whose if i is not None)
                     values[t] = _cut(values[t], chars)
                 text = pa.array(values, pa.string())
             keep = removed <= limits.drop * words

@@ -108,3 +108,10 @@ def test_longest_equals_brute_force(spark, limits):
     d = docs(spark, [(k, " ".join(t), "en", "s", 3, "x", 1) for k, t in enumerate(texts)])
     got = {x.doc_id: x.longest for x in D.report(d, spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string"), limits).collect()}
     assert got == {k: max((j - i for i in range(len(t)) for j in range(i + 1, min(len(t), i + 20) + 1) if tuple(t[i:j]) in held), default=0) for k, t in enumerate(texts)}
+
+
+def test_items_without_identifier(spark):
+    bench = spark.createDataFrame([(None, "a b c d e f g"), (None, "h i j k l m n"), (3, "o p q r s t u")], "item_id long, text string")
+    d = docs(spark, [(1, "x " * 40 + "a b c d e f g y o p q r s t u", "en", "s", 3, "x", 1), (2, "x " * 40 + "h i j k l m n", "en", "s", 3, "x", 1)])
+    got = {r.doc_id: (r.n_removed, r.items) for r in D.report(d, bench).collect()}
+    assert got == {1: (14, [3]), 2: (7, [])} and {word_list(r.text)[-1] for r in D.remove_spans(d, bench).collect()} == {"x", "y"}
