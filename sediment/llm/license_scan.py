@@ -6,8 +6,10 @@ identifiers that must follow one another, others may stand between. One scan and
 
 Defined results:
 
-* a sentence ends at a line end, or at ``.!?;:`` before white space; it is compared in lower case, with runs of anything
-  but ASCII letters and digits as one space;
+* a sentence ends at a blank line, or at ``.!?;:`` before white space; it may also begin and end at any line end, and go
+  over several lines; of sentences that begin at one place the longest counts, and none overlap;
+* it is compared in lower case, with runs of anything but ASCII letters and digits as one space; at a line's beginning
+  such runs, as comment signs are, don't count at all;
 * null, empty and blank texts, and texts without a known sentence, have no row in the result;
 * known sentences that complete no rule give the licence ``unknown-terms``;
 * repeated rows each give a row; very long texts are read whole; an empty table gives an empty result;
@@ -81,6 +83,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 _END = r"([.!?;:])[ \t\r]+"
+_STOP = r"[.!?;:](?:[ \t\r]+|(?=\n))"
+_PREFIX = r"(?<![^\n])[^a-z0-9\n]+"
 _OTHER = r"[^a-z0-9\n]+"
 
 
@@ -102,11 +106,20 @@ def _rule_pattern(sentences: tuple[str, ...]) -> str:
     return r"([^|]*\|)*?".join(re.escape(s).replace(r"\-", "-") + r"\|" for s in sentences)
 
 
+def _lookup() -> tuple[str, dict[str, str]]:
+    """A pattern of all known sentences, wrapped or not, the longest first; and the normalised sentences it finds."""
+    found = known()
+    wrapped = [re.sub(" ", "(?: ?\\n ?| )", k) for k in sorted(found, key=len, reverse=True)]
+    return r"(?<![^\n]) ?(?:" + "|".join(wrapped) + r") ?(?![^\n])", found
+
+
 def scan(docs: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
     """``doc_id``, the identifiers found in their order, and the licences they stand for, each comma-separated."""
-    by_text = F.create_map(*[F.lit(x) for kv in known().items() for x in kv])
-    flat = F.regexp_replace(F.lower(F.regexp_replace("text", _END, "$1\n")), _OTHER, " ")
-    ids = F.filter(F.transform(F.split(flat, "\n"), lambda s: by_text[F.trim(s)]), lambda x: x.isNotNull())
+    pattern, sentences = _lookup()
+    by_text = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
+    # one line end is a wrapped line, more are the end of a sentence
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), _PREFIX, ""), _STOP, "\n\n"), _OTHER, " ")
+    ids = F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(0)), lambda s: by_text[F.trim(F.regexp_replace(s, r"[ \n]+", " "))])
     found = docs.select("doc_id", ids.alias("ids")).where(F.size("ids") > 0)
     sequence = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))
     names = F.concat_ws(",", *[F.when(sequence.rlike(r"\|" + _rule_pattern(s)), F.lit(name)) for name, s in rules])
@@ -114,7 +127,7 @@ def scan(docs: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES
 
 
 def scan_sql(docs: str = "documents", rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, but for sentences that go over several lines, which it doesn't know."""
     pairs = ", ".join(f"'{k}': '{v}'" for k, v in known().items())
     names = ", ".join(f"CASE WHEN regexp_matches(sequence, '\\|{_rule_pattern(s)}') THEN '{name}' END" for name, s in rules)
     return f"""

@@ -114,6 +114,21 @@ def test_license_scan(spark, duck):
     assert set(license_scan.known().values()) == set(license_scan.SENTENCES) and all(set(s) <= set(license_scan.SENTENCES) for _, s in license_scan.RULES)
 
 
+def test_wrapped_licenses(spark):
+    from textwrap import wrap
+
+    said = {k: v[-1] for k, v in license_scan.SENTENCES.items()}
+    mit = f"{said['mit-grant']}:\n\n{said['mit-notice']}.\n\n{said['mit-asis']}. IN NO EVENT SHALL THE AUTHORS BE LIABLE."
+    bsd = f"{said['bsd-grant']}:\n\n1. {said['bsd-source']}.\n\n2. {said['bsd-binary']}."
+    gpl = f"{said['gpl-free']}: {said['gpl-any']}.\n\nThis program is distributed in the hope that it will be useful."
+    want = [(APACHE, "Apache-2.0,Apache-2.0-header"), (mit, "MIT-text"), (f"{said['isc-grant']}.", "ISC"), (bsd, "BSD-2-Clause-text"), (gpl, "GPL-3.0-or-later")]
+    texts = [("\n".join(sign + x for part in t.split("\n") for x in wrap(part, width) or [""]), licence) for t, licence in want for width in (40, 76) for sign in ("", " * ", "// ", "# ", ";; ")]
+    texts += [(t.replace("\n", "\r\n"), x) for t, x in texts]
+    texts += [("Licensed under the\n\nMPL", None), ("You must not say that you are Licensed under the\nBSD License by us", None)]
+    got = {r.doc_id: r.licenses for r in license_scan.scan(frame(spark, [(i, t, "s") for i, (t, _) in enumerate(texts)])).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(texts) if x}
+
+
 def test_stages_take_odd_rows(spark, tmp_path):
     import corpus_pipeline as P
 
