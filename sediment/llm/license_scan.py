@@ -107,10 +107,18 @@ def _rule_pattern(sentences: tuple[str, ...]) -> str:
 
 
 def _lookup() -> tuple[str, dict[str, str]]:
-    """A pattern of all known sentences, wrapped or not, the longest first; and the normalised sentences it finds."""
-    found = known()
-    wrapped = [re.sub(" ", "(?: ?\\n ?| )", k) for k in sorted(found, key=len, reverse=True)]
-    return r"(?<![^\n]) ?(?:" + "|".join(wrapped) + r") ?(?![^\n])", found
+    """A pattern of all known sentences, wrapped or not, the longest first; and the normalised sentences it finds.
+
+    A wording that is itself cut at its inner points is known only by all of its parts in succession.
+    """
+    found: dict[str, str] = {}
+    patterns: dict[str, str] = {}
+    for name, wordings in SENTENCES.items():
+        for w in wordings:
+            parts = [p for p in map(normalised, re.sub(_END, r"\1" + "\n", w).split("\n")) if p]
+            found[" ".join(parts)] = name
+            patterns[" ".join(parts)] = r" ?\n[ \n]*".join(p.replace(" ", r"(?: ?\n ?| )") for p in parts)
+    return r"(?<![^\n]) ?(?:" + "|".join(patterns[k] for k in sorted(patterns, key=len, reverse=True)) + r") ?(?![^\n])", found
 
 
 def scan(docs: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
@@ -127,7 +135,7 @@ def scan(docs: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES
 
 
 def scan_sql(docs: str = "documents", rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> str:
-    """The same in DuckDB's SQL, but for sentences that go over several lines, which it doesn't know."""
+    """The same in DuckDB's SQL, but for sentences that go over several lines, which it doesn't know, and cut wordings (see ``known``)."""
     pairs = ", ".join(f"'{k}': '{v}'" for k, v in known().items())
     names = ", ".join(f"CASE WHEN regexp_matches(sequence, '\\|{_rule_pattern(s)}') THEN '{name}' END" for name, s in rules)
     return f"""

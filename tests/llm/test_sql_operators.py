@@ -129,6 +129,13 @@ def test_wrapped_licenses(spark):
     assert got == {i: x for i, (_, x) in enumerate(texts) if x}
 
 
+def test_cut_wordings_need_all_parts(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    texts = [mpl + " If a copy", mpl.replace("Public ", "Public\n"), mpl.replace("v. ", "v.\n"), "Rating: 2.0", "see v. 2.0.", "2.0"]
+    got = {r.doc_id: r.licenses for r in license_scan.scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == dict.fromkeys(range(3), "MPL-2.0")
+
+
 def test_stages_take_odd_rows(spark, tmp_path):
     import corpus_pipeline as P
 
