@@ -60,65 +60,76 @@ BATCH = 1000  #: texts, or sets, that go to Python at once
 BLOCK = 2048  #: sets of a home that are verified together
 
 _U = np.uint64
-
-
-def _bits(count: int) -> int:
-    """Bits of the n-gram hashes that are kept; of 2**22 n-grams, one is taken for another."""
-    return min(64, max(1, count).bit_length() + 22)
+_OFTEN = _U(1 << 63)  #: set in the numbers of n-grams of more than FREQUENT sets, so that they come after all others
 
 
 def _concat(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts).astype(dtype, copy=False) if parts else np.zeros(0, dtype)
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit numbers: their high bits are sorted with the places in the low ones, which is far faster."""
+    if len(x) < 2:
+        return np.arange(len(x))
+    width = _U((len(x) - 1).bit_length())
+    same = 64 - int(x.min() ^ x.max()).bit_length()
+    key = (x << _U(same) if same < 64 else x) >> width << width | np.arange(len(x), dtype=_U)
+    key.sort()
+    order = (key & ((_U(1) << width) - _U(1))).astype(np.int64)
+    sorted_ = x[order]
+    if len(wrong := np.flatnonzero(sorted_[1:] < sorted_[:-1])):  # different numbers with the same high bits
+        key >>= width
+        for a, b in zip(np.unique(np.searchsorted(key, key[wrong])).tolist(), np.unique(np.searchsorted(key, key[wrong], "right")).tolist(), strict=True):
+            order[a:b] = order[a:b][np.argsort(x[order[a:b]], kind="stable")]
+    return order
+
+
 # -- 1: postings by range of the n-gram hash ------------------------------------------------------------------------
 
 
-def _postings(n: int, bits: int, ranges: int):
-    """Texts with their hashes -> packed postings by range."""
-    shift = _U(bits - (ranges - 1).bit_length())
+def _postings(n: int, ranges: int):
+    """Texts with their hashes -> in lots of sets: packed postings by range, and the sets' names and sizes."""
+    from pyspark import TaskContext
 
-    def flush(grams: list[np.ndarray], owners: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    shift = _U(64 - (ranges - 1).bit_length())
+
+    def flush(grams: list[np.ndarray], owners: list[np.ndarray], sets: list[np.ndarray], number: int) -> pa.RecordBatch:
         gram, owner, ids = _concat(grams, _U), _concat(owners, np.int64), _concat(sets, _U)
-        width = max(1, len(ids)).bit_length()
-        if bits + width <= 64:
-            key = np.unique(gram << _U(width) | owner.astype(_U))
-            gram, owner = key >> _U(width), (key & _U((1 << width) - 1)).astype(np.int64)
-        else:
-            order = np.lexsort((owner, gram))
-            gram, owner = gram[order], owner[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-            gram, owner = gram[new], owner[new]
+        first = np.zeros(len(ids), bool)
+        first[np.unique(ids, return_index=True)[1]] = True
+        if not first.all():  # equal texts are one set
+            here = first[owner]
+            gram, owner, ids = gram[here], (np.cumsum(first) - 1)[owner[here]], ids[first]
+        order = _order(gram)
+        gram, owner = gram[order], owner[order].astype(np.uint32)
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+        gram, owner = gram[new], owner[new]
         ends = np.searchsorted(gram >> shift if ranges > 1 else np.zeros(len(gram), _U), np.arange(ranges + 1, dtype=_U))
-        numbers, blobs = [], []
-        local = np.zeros(len(ids), np.uint32)
-        for r in np.flatnonzero(np.diff(ends)).tolist():
-            g, o = gram[ends[r] : ends[r + 1]], owner[ends[r] : ends[r + 1]]
-            here = np.zeros(len(ids), bool)
-            here[o] = True
-            present = np.flatnonzero(here)
-            local[present] = np.arange(len(present), dtype=np.uint32)
-            numbers.append(r)
-            blobs.append(pack(ids[present], np.diff(g, prepend=_U(0)), local[o]))
-        yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=["range", "blob"])
+        # the name depends on what is in the lot, so that lots of a task that ran twice are never taken for one another
+        lot = mix(np.array([np.bitwise_xor.reduce(mix(ids + np.arange(len(ids), dtype=_U))) ^ _U(TaskContext.get().partitionId() << 32 | number)]))
+        numbers = np.flatnonzero(np.diff(ends))
+        blobs = [pack(np.diff(gram[ends[r] : ends[r + 1]], prepend=_U(0)), owner[ends[r] : ends[r + 1]]) for r in numbers.tolist()]
+        blobs.append(pack(ids, np.bincount(owner, minlength=len(ids)).astype(np.uint32)))
+        numbers = np.append(numbers, ranges + int(lot[0] % _U(ranges)))
+        return pa.record_batch([pa.array(numbers, pa.int64()), pa.array(np.repeat(lot.view(np.int64), len(numbers))), pa.array(blobs, pa.binary())], names=["range", "lot", "blob"])
 
     def run(batches):
-        grams, owners, sets, count, docs = [], [], [], 0, 0
+        grams, owners, sets, count, docs, number = [], [], [], 0, 0, 0
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 g, o = ngrams(*word_hashes(strings(part.column("text"))), n)
-                grams.append(g >> _U(64 - bits))
+                grams.append(g)
                 owners.append(o + docs)
                 sets.append(part.column("set").to_numpy().view(_U))
                 docs += part.num_rows
                 count += len(g)
                 if count >= FLUSH:
-                    yield from flush(grams, owners, sets)
-                    grams, owners, sets, count, docs = [], [], [], 0, 0
+                    yield flush(grams, owners, sets, number)
+                    grams, owners, sets, count, docs, number = [], [], [], 0, 0, number + 1
         if count:
-            yield from flush(grams, owners, sets)
+            yield flush(grams, owners, sets, number)
         del grams, owners, sets
         release()
 
@@ -128,99 +139,91 @@ def _postings(n: int, bits: int, ranges: int):
 # -- 2: shared n-grams by set ---------------------------------------------------------------------------------------
 
 
-def _shared(bits: int, ranges: int, groups: int):
-    """The postings of one range -> by group of sets: each set's n-grams here, and which of them others share."""
-    low = bits - (ranges - 1).bit_length()
+def _shared(ranges: int):
+    """The postings of one range -> by lot: which of them other sets share, as ranks of the n-grams by frequency."""
 
     @releasing
     def run(table: pa.Table) -> pa.Table:
-        base = _U(table.column("range")[0].as_py() << low) if ranges > 1 else _U(0)
-        parts = [unpack(x.as_buffer()) for x in table.column("blob").combine_chunks()]
-        sets, where = np.unique(_concat([p[0] for p in parts], _U), return_inverse=True)
-        starts = np.cumsum([0, *[len(p[0]) for p in parts]])
-        width = max(1, len(sets)).bit_length()
-        grams, owners = [], []
-        for k in range(len(parts)):  # one part after the other, so that no two copies of all postings are in memory
-            _, step, local = parts[k]
-            parts[k] = None
-            g, o = np.cumsum(step, dtype=_U) - base, where[starts[k] : starts[k + 1]][local]
-            if low + width <= 64:
-                grams.append(g << _U(width) | o.astype(_U))
-            else:
-                grams.append(g)
-                owners.append(o)
-        del step, local, g, o
+        number = table.column("range")[0].as_py()
+        if number >= ranges:  # names and sizes pass through
+            return pa.table({"lot": table.column("lot"), "range": pa.array([-1] * table.num_rows, pa.int64()), "blob": table.column("blob")})
+        blobs = table.column("blob").combine_chunks()
+        parts = []
+        grams = []
+        for x in blobs:
+            step, local = unpack(x.as_buffer())
+            grams.append(np.cumsum(step, dtype=_U))
+            parts.append(local)
         gram = _concat(grams, _U)
-        del grams
-        if low + width <= 64:
-            gram.sort()
-            new = np.ones(len(gram), bool)
-            new[1:] = gram[1:] != gram[:-1]
-            gram = gram[new]
-            owner = (gram & _U((1 << width) - 1)).astype(np.int32)
-            gram >>= _U(width)
-        else:
-            owner = _concat(owners, np.int64)
-            order = np.lexsort((owner, gram))
-            gram, owner = gram[order], owner[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-            gram, owner = gram[new], owner[new]
-        del new
+        del grams, step
+        order = _order(gram)
+        gram = gram[order]
         begins = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         often = np.diff(np.append(begins, len(gram)))
-        sizes = np.bincount(owner, minlength=len(sets))
-        several = np.repeat(often > 1, often)
-        df = np.repeat(often, often)[several].astype(np.uint32)
-        gram, owner = gram[several] + base, owner[several]
-        order = np.argsort(owner, kind="stable")
-        gram, df, shared = gram[order], df[order], np.bincount(owner, minlength=len(sets))
-        upto = np.concatenate(([0], np.cumsum(shared)))
-        shift = _U(64 - (groups - 1).bit_length())
-        ends = np.searchsorted(sets >> shift if groups > 1 else np.zeros(len(sets), _U), np.arange(groups + 1, dtype=_U))
-        numbers, blobs = [], []
-        for r in np.flatnonzero(np.diff(ends)).tolist():
-            s = slice(ends[r], ends[r + 1])
-            g = slice(upto[s.start], upto[s.stop])
-            numbers.append(r)
-            blobs.append(pack(np.diff(sets[s], prepend=_U(0)), sizes[s].astype(np.uint32), shared[s].astype(np.uint32), gram[g], df[g]))
-        return pa.table({"part": pa.array(numbers, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        del gram
+        several = np.flatnonzero(often > 1)
+        rank = np.full(len(often), -1, np.int32)
+        rank[several[np.argsort(often[several], kind="stable")]] = np.arange(len(several), dtype=np.int32)
+        rare = np.count_nonzero(often[several] <= FREQUENT)
+        of = np.empty(len(order), np.int32)
+        of[order] = np.repeat(rank, often)
+        del order
+        out, at = [], 0
+        for local in parts:
+            mine = of[at : at + len(local)]
+            at += len(local)
+            key = np.sort(local[mine >= 0].astype(_U) << _U(32) | mine[mine >= 0].astype(_U))
+            out.append(pack(np.array([len(local), rare], np.int64), np.diff(key >> _U(32), prepend=_U(0)).astype(np.uint32), key.astype(np.uint32)))
+        return pa.table({"lot": table.column("lot"), "range": table.column("range"), "blob": pa.array(out, pa.binary())})
 
     return run
 
 
-def _ordered(threshold: float):
-    """One group of sets -> the sets that can have partners, their shared n-grams by frequency."""
+def _ordered(threshold: float, ranges: int):
+    """One lot -> the sets that can have partners, their shared n-grams' numbers in the order of frequency."""
+    low = _U((ranges - 1).bit_length())
 
     @releasing
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_buffer()) for x in table.column("blob").combine_chunks()]
-        ids = [np.cumsum(p[0], dtype=_U) for p in parts]
-        sets, where = np.unique(_concat(ids, _U), return_inverse=True)
-        size = np.bincount(where, weights=_concat([p[1] for p in parts], np.float64), minlength=len(sets)).astype(np.int64)
-        shared = np.bincount(where, weights=_concat([p[2] for p in parts], np.float64), minlength=len(sets)).astype(np.int64)
-        good = shared >= np.ceil(threshold * size - 1e-9)
-        owner = np.repeat(where, _concat([p[2] for p in parts], np.int64))
+        owners, numbers, count, sets, size = [], [], 0, np.zeros(0, _U), np.zeros(0, np.int64)
+        for r, x in zip(table.column("range").to_pylist(), table.column("blob").combine_chunks(), strict=True):
+            if r < 0:
+                sets, size = unpack(x.as_buffer())
+                size = size.astype(np.int64)
+                continue
+            (n, rare), step, rank = unpack(x.as_buffer())
+            count += int(n)
+            owners.append(np.cumsum(step, dtype=np.int64))
+            numbers.append(rank.astype(_U) << low | _U(r) | np.where(rank < rare, _U(0), _OFTEN))
+        if count != size.sum():
+            raise RuntimeError("parts of a lot are missing: the documents came in another order when a lost part was read again")
+        owner, number = _concat(owners, np.int64), _concat(numbers, _U)
+        shared = np.bincount(owner, minlength=len(sets))
+        good = (shared > 0) & (shared >= np.ceil(threshold * size - 1e-9))
         use = good[owner]
-        owner, gram, df = owner[use], _concat([p[3] for p in parts], _U)[use], _concat([p[4] for p in parts], np.uint32)[use]
-        del parts
-        order = np.lexsort((gram, df, owner))
-        gram, df = gram[order], df[order]
-        chosen = np.flatnonzero(good & (shared > 0))
-        upto = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(sets)))))
-        rare = np.concatenate(([0], np.cumsum(df <= FREQUENT)))
+        owner, number = owner[use], number[use]
+        order = np.lexsort((number, owner))
+        number = number[order]
+        upto = np.concatenate(([0], np.cumsum(np.where(good, shared, 0))))
+        rare = np.concatenate(([0], np.cumsum(number < _OFTEN)))
+        chosen = np.flatnonzero(good)
         return pa.table(
             {
                 "set": pa.array(sets[chosen].view(np.int64)),
                 "size": pa.array(size[chosen], pa.int32()),
                 "n_rare": pa.array((rare[upto[chosen + 1]] - rare[upto[chosen]]), pa.int32()),
-                "grams": pa.array([pack(gram[upto[k] : upto[k + 1]]) for k in chosen.tolist()], pa.binary()),
+                "grams": pa.array([pack(np.diff(number[upto[k] : upto[k + 1]], prepend=_U(0))) for k in chosen.tolist()], pa.binary()),
             }
         )
 
     return run
 
 
+def _numbers(blob) -> np.ndarray:
+    """A set's shared n-grams."""
+    return np.cumsum(unpack(blob.as_buffer())[0], dtype=_U)
+
+
 # -- 3: index keys of prefixes --------------------------------------------------------------------------------------
 
 
@@ -291,7 +294,7 @@ def _keys(threshold: float, ranges: int):
         keys, rests, counts, sets, sizes, total = [], [], [], [], [], 0
         for b in batches:
             for s, size, rare, blob in zip(b.column("set").to_pylist(), b.column("size").to_pylist(), b.column("n_rare").to_pylist(), b.column("grams"), strict=True):
-                k, r = prefix_keys(unpack(blob.as_buffer())[0], size, rare, threshold)
+                k, r = prefix_keys(_numbers(blob), size, rare, threshold)
                 if len(k):
                     keys.append(k)
                     rests.append(r)
@@ -434,21 +437,22 @@ def _verify(threshold: float):
 
     @releasing
     def run(table: pa.Table) -> pa.Table:
+        # a set that stands in several lots comes several times, each time the same
+        table = table.take(pa.array(np.unique(table.column("set").to_numpy(), return_index=True)[1]))
         ids = table.column("set").to_numpy()
         size = table.column("size").to_numpy()
-        grams = [unpack(x.as_buffer())[0] for x in table.column("grams").combine_chunks()]
+        grams = [_numbers(x) for x in table.column("grams").combine_chunks()]
         partners = table.column("partners").combine_chunks()
         ends = np.cumsum([0, *[len(g) for g in grams]])
         vocabulary, coded = np.unique(_concat(grams, _U), return_inverse=True)
         coded = coded.astype(np.int32)
         del grams
-        at = np.argsort(ids, kind="stable")
         has = np.zeros(len(vocabulary), bool)
         offsets, flat = partners.offsets.to_numpy(), partners.flatten().to_numpy(zero_copy_only=False)
         offsets = offsets - offsets[:1]
         a_out, b_out, j_out = [], [], []
         for k in np.flatnonzero(np.diff(offsets)).tolist():
-            others = at[np.searchsorted(ids, flat[offsets[k] : offsets[k + 1]], sorter=at)]
+            others = np.searchsorted(ids, flat[offsets[k] : offsets[k + 1]])
             mine = coded[ends[k] : ends[k + 1]]
             has[mine] = True
             both = np.array([np.count_nonzero(has[coded[ends[o] : ends[o + 1]]]) for o in others.tolist()], np.int64)
@@ -476,12 +480,11 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     texts = docs.select(_set_of(F.col("text")).alias("set"), "text").where("set IS NOT NULL")
     # characters bound the number of words and so of n-grams; a word has two with its space at least
     count = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 5
-    bits = _bits(count)
     ranges = 1 << max(0, -(-count // RANGE) - 1).bit_length()
-    posted = texts.mapInArrow(_postings(n, bits, ranges), "range long, blob binary")
-    shared = posted.groupBy("range").applyInArrow(_shared(bits, ranges, ranges), "part long, blob binary")
+    posted = texts.mapInArrow(_postings(n, ranges), "range long, lot long, blob binary")
+    shared = posted.groupBy("range").applyInArrow(_shared(ranges), "lot long, range long, blob binary")
     with arrow_batches(spark, BATCH):
-        sets = written(shared.groupBy("part").applyInArrow(_ordered(threshold), "set long, size int, n_rare int, grams binary"), "ngram-sets")
+        sets = written(shared.groupBy("lot").applyInArrow(_ordered(threshold, ranges), "set long, size int, n_rare int, grams binary"), "ngram-sets")
     del posted, shared
     forget_shuffles(spark)
 

@@ -59,8 +59,6 @@ def test_pairs_equal_brute_force(spark, monkeypatch, frequent, t, n, small):
             monkeypatch.setattr(J, "FLUSH", 200)
             monkeypatch.setattr(J, "BLOCK", 5)
             monkeypatch.setattr(J, "MANY", 3)
-            if n == 1:  # hashes of full width, as of a very large corpus
-                monkeypatch.setattr(J, "_bits", lambda _: 64)
         rows = corpus(n * 10 + frequent, words=12 if n < 3 else 6)
         got = {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in J.similar_pairs(frame(spark, rows), n, t).collect()}
         assert got == brute(rows, n, t)
@@ -94,8 +92,15 @@ def test_prefixes_of_similar_sets_meet(seed, monkeypatch):
             assert any(min(keys[i][k], keys[j][k]) >= need for k in keys[i].keys() & keys[j].keys())
 
 
+@pytest.mark.parametrize("n,top", [(0, 2**64), (1, 2**64), (1000, 2**64), (1000, 50), (5000, 2**20)])
+def test_order_is_stable(n, top):
+    r = random.Random(n)
+    x = np.array([r.randrange(top) for _ in range(n)], np.uint64)
+    assert J._order(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
 def test_blobs():
-    a = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint32), np.array([-1, 7], np.int64)]
+    a = [np.arange(5000, dtype=np.uint32) % 7, np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint32), np.array([-1, 7], np.int64)]
     for x, y in zip(a, blobs.unpack(blobs.pack(*a)), strict=True):
         assert x.dtype == y.dtype and x.tolist() == y.tolist()
 
