@@ -2,13 +2,16 @@
 
 A document is its set of word n-grams, and all pairs of documents whose sets have a Jaccard similarity of at least
 ``threshold`` are found, exactly, without a cap on partners. Equal texts share one set, known by a 64-bit hash of the
-text, and are joined as one; n-grams are known by ``log2(their number) + 22`` bits, at most 64, of a hash.
-
-1. Each text is read once, in Arrow batches, into (n-gram, set) postings. They are shuffled by ranges of the n-gram hash,
-   sorted and packed in blobs of a few bytes a posting, and give every n-gram's exact document frequency.
-2. N-grams of one set can't be shared. The others go on by set, with the set's number of n-grams. A set keeps on only
-   if enough of its n-grams are shared to reach the threshold. Its shared n-grams are ordered by frequency; those of one
-   set come before all of them.
+text, and are joined as one; n-grams are known by a 64-bit hash at every size of the corpus (that two sets of 1,000
+n-grams have one collision between them, which would alter their similarity by a thousandth, has a chance of 5 * 10^-14).
+
+1. Each text is read once, in Arrow batches, into (n-gram, set) postings of a lot of sets, in which a set is known by its
+   place. They are shuffled by ranges of the n-gram hash, sorted and packed in about 7 bytes a posting, however many
+   ranges there are, and give every n-gram's frequency. Texts that several lots have count once in each, which
+   moves them in the order of n-grams and so can't change a result.
+2. N-grams of one set can't be shared. The others go back to their lot as their rank by frequency within the range. A set
+   keeps on only if enough of its n-grams are shared to reach the threshold. Its shared n-grams are ordered by rank, those
+   of at most ``FREQUENT`` sets first; those of one set come before all of them.
 3. Prefixes. Two similar sets share an n-gram of both prefixes of ``size - ceil(t * size) + 1`` n-grams. N-grams of at
    most ``FREQUENT`` sets are indexed singly. More frequent ones fall into classes by hash, and only pairs of n-grams of
    one class are indexed; the prefix is extended until its n-grams, each class counted less one, are as many as before.
@@ -18,11 +21,13 @@ text, and are joined as one; n-grams are known by ``log2(their number) + 22`` bi
    hold partners.
 4. Sets that share an index key and pass the bounds on size and on remaining n-grams are candidates. Groups of copies
    share hundreds of keys, so long lists of sets under one key are compared with groups that were paired before, and only
-   what is new in them is paired; this may add candidates, never take one away. Each later set's candidates are verified where its least partner is at home, so that the sets of a group of copies come together
-   once; a home with many sets is cut into blocks.
+   what is new in them is paired; this may add candidates, never take one away. Each later set's candidates are verified
+   where its least partner is at home, so that the sets of a group of copies come together once; a home with many sets is
+   cut into blocks.
 
 Memory in each task is bounded by the sizes of ranges and blocks, which don't depend on the corpus; only the numbers of
-ranges and blocks do. Nothing is broadcast.
+ranges and blocks do. A side is broadcast only if it has at most ``BROADCAST_ROWS`` rows. ``docs`` is read again where a
+task is lost and must come in the same order then, as files do; parts of two different orders stop the job.
 
 Defined results:
 
@@ -31,7 +36,8 @@ Defined results:
 * a pair is given once, lesser ``doc_id`` first; equal texts have similarity 1; rows that repeat a ``doc_id`` add no pair
   of it with itself; rows with a null ``doc_id`` are in no pair;
 * in ``one_of_each`` one row of each group that pairs connect stays, the one with the least ``doc_id`` (nulls last), then
-  the least text hash; of wholly repeated rows one stays; documents without grams all stay;
+  the least text hash; of rows that repeat both, the one whose other columns come first as JSON; documents without grams
+  all stay;
 * very long texts are read whole; an empty table gives no pairs and no documents;
 * extra columns are kept by ``one_of_each``, whatever their names.
 """
@@ -47,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import pack, release, releasing, unpack
-from .tables import arrow_batches, forget_shuffles, written
+from .tables import arrow_batches, discard, written
 from .text import mix, ngrams, strings, word_hashes
 
 N = 3
@@ -209,6 +215,7 @@ def _ordered(threshold: float, ranges: int):
         chosen = np.flatnonzero(good)
         return pa.table(
             {
+                "lot": pa.array(np.full(len(chosen), table.column("lot")[0].as_py(), np.int64)),
                 "set": pa.array(sets[chosen].view(np.int64)),
                 "size": pa.array(size[chosen], pa.int32()),
                 "n_rare": pa.array((rare[upto[chosen + 1]] - rare[upto[chosen]]), pa.int32()),
@@ -437,8 +444,7 @@ def _verify(threshold: float):
 
     @releasing
     def run(table: pa.Table) -> pa.Table:
-        # a set that stands in several lots comes several times, each time the same
-        table = table.take(pa.array(np.unique(table.column("set").to_numpy(), return_index=True)[1]))
+        table = table.sort_by("set")
         ids = table.column("set").to_numpy()
         size = table.column("size").to_numpy()
         grams = [_numbers(x) for x in table.column("grams").combine_chunks()]
@@ -467,6 +473,15 @@ def _verify(threshold: float):
     return run
 
 
+#: Fewer rows (16 bytes each) than this are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, written before, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _set_of(text: Column) -> Column:
     """The set's name; null where the text has no word."""
     return F.when(text.rlike(r"[\p{L}\p{M}\p{N}]"), F.xxhash64(text))
@@ -484,17 +499,16 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     posted = texts.mapInArrow(_postings(n, ranges), "range long, lot long, blob binary")
     shared = posted.groupBy("range").applyInArrow(_shared(ranges), "lot long, range long, blob binary")
     with arrow_batches(spark, BATCH):
-        sets = written(shared.groupBy("lot").applyInArrow(_ordered(threshold, ranges), "set long, size int, n_rare int, grams binary"), "ngram-sets")
-    del posted, shared
-    forget_shuffles(spark)
+        lots = written(shared.groupBy("lot").applyInArrow(_ordered(threshold, ranges), "lot long, set long, size int, n_rare int, grams binary"), "ngram-sets")
+    # equal texts of several lots: the row of the first stays
+    several = written(lots.groupBy("set").agg(F.min("lot").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set", "first"), "ngram-several")
+    sets = lots.join(_few(several), "set", "left").where("first IS NULL OR first = lot").select("set", "size", "n_rare", "grams")
 
     keys = sets.mapInArrow(_keys(threshold, max(1, ranges // 4)), "range long, blob binary")
     found = keys.groupBy("range").applyInArrow(_candidates(threshold), "a long, b long")
     lists = found.groupBy("b").agg(F.collect_set("a").alias("partners")).select("b", "partners", F.array_min("partners").alias("home"))
     with arrow_batches(spark, BATCH):
-        lists = written(lists, "ngram-candidates")
-    del keys, found
-    forget_shuffles(spark)
+        candidates = lists = written(lists, "ngram-candidates")
 
     members = lists.select("home", F.explode(F.concat("partners", F.array("b"))).alias("set")).distinct()
     blocks = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -506,9 +520,10 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     later = whole.unionByName(cut)
     earlier = later.select("home", "x", "y", F.explode("partners").alias("set")).distinct().withColumn("partners", F.array().cast("array<bigint>"))
     wanted = later.unionByName(earlier).groupBy("home", "x", "y", "set").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    return written(
-        wanted.join(sets.select("set", "size", "grams"), "set").groupBy("home", "x", "y").applyInArrow(_verify(threshold), "a long, b long, jaccard double"), "ngram-pairs"
-    )
+    verified = wanted.join(sets.select("set", "size", "grams"), "set").groupBy("home", "x", "y").applyInArrow(_verify(threshold), "a long, b long, jaccard double")
+    pairs = written(verified, "ngram-pairs")
+    discard(lots, several, candidates)
+    return pairs
 
 
 def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -531,41 +546,40 @@ def connected(pairs: DataFrame) -> DataFrame:
     A round takes the least group among neighbours and then the group of that group, so that long chains need few rounds.
     """
     ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = written(ways.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.first("a")).alias("group")), "groups")
+    last = now = written(ways.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.first("a")).alias("group")), "groups")
     while True:
         near = ways.join(now.select(F.col("set").alias("b"), "group"), "b").groupBy(F.col("a").alias("set")).agg(F.min("group").alias("near"))
         least = now.join(near, "set").select("set", F.col("group").alias("was"), F.least("group", "near").alias("group"))
         jump = now.select(F.col("set").alias("group"), F.col("group").alias("further"))
         after = written(least.join(jump, "group", "left").select("set", "was", F.least("group", "further").alias("group")), "groups")
-        moved = after.where("was <> group").limit(1).count()
-        now = after.select("set", "group")
-        if not moved:
+        discard(last)
+        last, now = after, after.select("set", "group")
+        if not after.where("was <> group").limit(1).count():
+            now.written_to = after.written_to
             return now
 
 
-#: Fewer rows to remove than this (16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group of documents that similar pairs connect."""
     at = {c.lower(): c for c in docs.columns}
-    groups = connected(similar_sets(docs, n, threshold))
-    named = docs.select(F.col(at["doc_id"]).alias("doc"), _set_of(F.col(at["text"])).alias("set")).where("set IS NOT NULL")
-    rows = named.groupBy("doc", "set").agg(F.count(F.lit(1)).alias("n")).join(groups, "set", "left").select("doc", "set", "n", F.coalesce("group", "set").alias("group"))
+    pairs = similar_sets(docs, n, threshold)
+    groups = connected(pairs)
+    # in a struct, the names of the input's columns are out of the way
+    every = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[at["doc_id"]].alias("doc"), _set_of(docs[at["text"]]).alias("set"))
+    rows = every.where("set IS NOT NULL").groupBy("doc", "set").agg(F.count(F.lit(1)).alias("n")).join(groups, "set", "left").select("doc", "set", "n", F.coalesce("group", "set").alias("group"))
     first = F.min_by(F.struct("doc", "set"), F.struct(F.col("doc").isNull(), "doc", "set")).alias("stays")
     stays = rows.groupBy("group").agg(first)
     marked = rows.join(stays, "group").select("doc", "set", "n", (F.col("doc").eqNullSafe(F.col("stays.doc")) & (F.col("set") == F.col("stays.set"))).alias("stays"))
     marked = written(marked.where("NOT stays OR n > 1"), "ngram-removed")
-    gone, again = marked.where("NOT stays"), marked.where("stays")
+    discard(pairs, groups)
 
     def matching(of: DataFrame, how: str, few: DataFrame) -> DataFrame:
-        few = few.select(F.col("doc").alias("__doc"), F.col("set").alias("__set"))
-        few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
-        return of.join(few, (_set_of(of[at["text"]]) == F.col("__set")) & of[at["doc_id"]].eqNullSafe(F.col("__doc")), how)
+        few = _few(few.select(F.col("doc").alias("d"), F.col("set").alias("s")))
+        return of.join(few, (of["set"] == F.col("s")) & of["doc"].eqNullSafe(F.col("d")), how)
 
-    kept = matching(docs, "left_anti", gone)
+    again = marked.where("stays")
+    kept = matching(every, "left_anti", marked.where("NOT stays"))
     if again.limit(1).count():
-        single = matching(kept, "left_semi", again).dropDuplicates([at["doc_id"], at["text"]])
-        kept = matching(kept, "left_anti", again).unionByName(single)
-    return kept
+        single = matching(kept, "left_semi", again).groupBy("doc", "set").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = matching(kept, "left_anti", again).select("row").unionByName(single.select("row"))
+    return kept.select("row.*")

@@ -125,6 +125,32 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(((r.doc_id or -1, r.text or "") for r in J.one_of_each(d).collect())) == [(-1, "only this one"), (3, "some words here"), (4, ""), (4, "")]
 
 
+def test_clashing_names_and_rows_that_differ_in_other_columns(spark):
+    cols = ("row", "doc", "set", "d", "s", "lot", "group", "first", "stays", "n", "__set", "a", "b")
+    rows = [(2, "some words here", *["z"] * 13), (1, "Some words, here", *["y"] * 13), (1, "Some words, here", *["x"] * 13), (5, None, *["w"] * 13)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in cols))
+    kept = J.one_of_each(d)
+    assert kept.columns == d.columns
+    assert sorted(tuple(r)[:3] for r in kept.collect()) == [(1, "Some words, here", "x"), (5, None, "w")]
+    assert [(r.doc_a, r.doc_b) for r in J.similar_pairs(d).collect()] == [(1, 2)]
+
+
+def test_copies_in_several_lots(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(J)
+    try:
+        monkeypatch.setattr(J, "FLUSH", 5)
+        rows = [(i, "one two three four five six") for i in range(30)] + [(30 + i, f"one two three four five seven {'x' * i}") for i in range(3)]
+        for most in (0, 10):
+            monkeypatch.setattr(J, "BROADCAST_ROWS", most)
+            got = {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in J.similar_pairs(frame(spark, rows), 2, 0.5).collect()}
+            assert got == brute(rows, 2, 0.5)
+            assert [r.doc_id for r in J.one_of_each(frame(spark, rows), 2, 0.5).collect()] == [0]
+    finally:
+        cloudpickle.unregister_pickle_by_value(J)
+
+
 def test_groups_are_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (100, 301)]
     got = {r.set: r.group for r in J.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
