@@ -3,14 +3,18 @@
 A page is read once, left to right, into its text nodes, each with the path of open elements from the root. Per path,
 text length and punctuation are summed and divided by the path's number of nodes. Both ratios are smoothed over the
 paths in their order on the page, fused as their geometric mean, and paths at or above a share of the page's
-text-weighted mean are content; their nodes, in order, are the text. One scan in Arrow batches, without a shuffle.
+text-weighted mean are content; their nodes, in order, are the text. Words in links weigh nothing, and words in links or
+other inline elements go where the block does that they stand in. One scan in Arrow batches, without a shuffle.
 
 Defined results:
 
 * comments, declarations, scripts, styles and other raw or hidden elements hold no text; entities are decoded;
 * void elements open nothing; an opening block closes an open paragraph with all that is open in it, list items, cells
   and options close their like; an end tag without its start is ignored; an unclosed element ends with its parent;
-* link text, and text in navigation, headers, footers, asides and forms, weighs nothing and is never content;
+* a link is content where the text around it is, so that lists of links never are; what HTML itself sets apart from a
+  page's content, ``nav``, ``aside``, ``footer`` and ``button``, weighs nothing and never is it; forms and headers are as their
+  ratios say;
+* of two paths with equal ratios both are content or neither is;
 * a page of which no path has any weight gives an empty text; null and empty pages give an empty text and 0 nodes;
 * very long pages are read whole; repeated rows each give a row; an empty table gives an empty result;
 * extra columns of the input are ignored, whatever their names.
@@ -35,7 +39,8 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；！？]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript iframe object svg math textarea select title".split())
-_SIDE = frozenset("a nav footer header aside form button menu head".split())
+_SIDE = frozenset("nav footer aside button".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSES_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table select".split())
@@ -47,6 +52,7 @@ class Paths:
     def __init__(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
         self.parent, self.tag, self.side = [0], [""], [False]
+        self.linked, self.block = [False], [0]  #: whether it is in a link; the block that an inline element stands in
 
     def down(self, path: int, tag: str) -> int:
         k = self.child.get((path, tag))
@@ -55,6 +61,8 @@ class Paths:
             self.parent.append(path)
             self.tag.append(tag)
             self.side.append(self.side[path] or tag in _SIDE)
+            self.linked.append(self.linked[path] or tag == "a")
+            self.block.append(self.block[path] if tag in _INLINE else k)
         return k
 
     def name(self, path: int) -> str:
@@ -128,11 +136,12 @@ def content_paths(paths_of: Paths, found: list[tuple[int, str]], share: float =
     """The paths whose nodes are content."""
     sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
     for path, text in found:
-        s = sums[path]
-        s[0] += len(text)
-        s[1] += len(_PUNCTUATION.findall(text))
-        s[2] += 1
-    paths = [p for p in sums if not paths_of.side[p]]
+        if not paths_of.side[path] and not paths_of.linked[path]:
+            s = sums[path]
+            s[0] += len(text)
+            s[1] += len(_PUNCTUATION.findall(text))
+            s[2] += 1
+    paths = list(sums)
     if not paths:
         return set()
     lengths = _smooth([sums[p][0] / sums[p][2] for p in paths])
@@ -140,7 +149,8 @@ def content_paths(paths_of: Paths, found: list[tuple[int, str]], share: float =
     fused = [(a * b) ** 0.5 for a, b in zip(lengths, marks, strict=True)]
     total = sum(sums[p][0] for p in paths)
     mean = sum(f * sums[p][0] for f, p in zip(fused, paths, strict=True)) / total
-    return {p for f, p in zip(fused, paths, strict=True) if f >= share * mean}
+    good = {p for f, p in zip(fused, paths, strict=True) if f >= share * mean}
+    return good | {p for p, _ in found if paths_of.block[p] in good and not paths_of.side[p]}
 
 
 def extract(page: str | None, share: float = SHARE) -> tuple[str, int, int]:

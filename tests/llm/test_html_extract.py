@@ -33,10 +33,18 @@ def test_odd_pages(page):
     assert kept <= n and (kept > 0 or text == "")
 
 
+def block(path):
+    tags = path.split("/")
+    while tags and tags[-1] in H._INLINE:
+        tags.pop()
+    return "/".join(tags)
+
+
 def brute_content(page):
     """Ratios, smoothing, fusion and threshold, written out over path names."""
     found = named(page)
-    order = [p for p in dict.fromkeys(p for p, _ in found) if not set(p.split("/")) & H._SIDE]
+    out = lambda p: bool(set(p.split("/")) & {"nav", "aside", "footer", "button"})
+    order = [p for p in dict.fromkeys(p for p, _ in found) if not out(p) and "a" not in p.split("/")]
     if not order:
         return []
     of = {p: [t for q, t in found if q == p] for p in order}
@@ -49,7 +57,26 @@ def brute_content(page):
     size = [sum(map(len, of[p])) for p in order]
     mean = sum(f * s for f, s in zip(fused, size)) / sum(size)
     good = {p for p, f in zip(order, fused) if f >= H.SHARE * mean - 1e-12}
-    return [t for p, t in found if p in good]
+    return [t for p, t in found if p in good or block(p) in good and not out(p)]
+
+
+LONG = "A long sentence of running text, with commas, and a full stop at its end. " * 5
+
+
+def text_of(page):
+    return H.extract(page)[0].split("\n")
+
+
+def test_words_in_links_and_emphasis_go_with_their_sentence():
+    page = f"<body><ul><li><a href=x>Home</a><li><a href=y>News and more news, every day.</a></ul><p>{LONG}<p>See <a href=z>the <b>linked</b> words</a> and <em>stress</em> here.{LONG}</body>"
+    assert text_of(page) == [LONG.strip(), "See", "the", "linked", "words", "and", "stress", "here." + LONG.strip()]
+
+
+def test_a_page_in_one_form_and_a_title_in_a_header():
+    inner = f"<article><header><h1>The title of it, in a few words</h1></header><p>{LONG}</p><p>{LONG}</p></article><input type=text><button>Go</button>"
+    for page in (f"<body><form action=x><div>{inner}</div></form></body>", f"<body>{inner}</body>"):
+        assert text_of(page) == ["The title of it, in a few words", LONG.strip(), LONG.strip()]
+    assert text_of(f"<body><nav><p>{LONG}</p></nav><p>{LONG}</p><footer><p>{LONG}</p></footer></body>") == [LONG.strip()]
 
 
 def test_pages_equal_brute_force_and_find_articles(spark):
