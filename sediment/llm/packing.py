@@ -6,14 +6,18 @@ the filling closest to the capacity: the bitset after each distinct length says
 backtracking through them gives how many pieces of each length the best total takes. The longest remaining piece always
 goes in, so that every window makes progress, and a filling is repeated as long as the counts allow.
 
+Tokens are those of the byte-level vocabulary in ``tokenizer``, counted whole: texts are cut only before white space that
+follows something else, where the vocabulary's pre-tokens end too, so that a text's count is the sum over its pieces.
+Distinct pieces of a slice of texts are encoded once in a worker.
+
 Lengths are packed in lots of about ``LOT`` documents, chosen by a hash of the row; a lot is one task's work, so packing
-is linear in the corpus and no task grows with it. Only (document, length) pairs are shuffled, never texts. A lot's last
-windows may stay open, at most a few in tens of thousands.
+is linear in the corpus and no task grows with it. Only identifiers, lengths and how often they stand are shuffled, never
+texts, and copies of a row are spread over the lots. A lot's last windows may stay open, at most a few in tens of thousands.
 
 Defined results:
 
-* a token is a run of characters other than white space; each document is followed by one separator token;
-* null, empty and blank texts have no tokens and are in no window;
+* each document is followed by one separator token;
+* null and empty texts have no tokens and are in no window; blank ones have the tokens of their white space;
 * repeated rows are pieces of their own; equal lengths are filled in order of ``doc_id``, nulls first;
 * very long texts are cut at window bounds, none of their tokens is lost;
 * an empty table gives no windows; extra columns are ignored, whatever their names.
@@ -28,6 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import strings
+from .tokens import TOKENIZER, lengths
+
 CAPACITY = 2048
 LOT = 20_000
 
@@ -78,17 +85,23 @@ def fillings(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int
     return out
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n`` (tokens and the separator, 0 for a text without tokens) and ``spread``, a hash of the row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
-    return docs.select("doc_id", F.when(n > 0, n + 1).otherwise(F.lit(0)).cast("long").alias("n"), F.xxhash64("doc_id", "text").alias("spread")).where("n > 0")
+def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``doc_id``, ``n`` (tokens and the separator) and ``spread``, a hash of the row; without documents that have no tokens."""
+
+    def count(batches):
+        for b in batches:
+            n = lengths(strings(b.column("text")), tokenizer)
+            yield pa.record_batch([b.column("doc_id"), pa.array(n + 1, pa.int64()), b.column("spread")], names=["doc_id", "n", "spread"]).filter(pa.array(n > 0))
+
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("spread")).where("text <> ''")
+    return rows.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, spread long")
 
 
 def _packed(capacity: int):
     def pack(table: pa.Table) -> pa.Table:
         lot = table.column("lot")[0].as_py()
-        ids, n = table.column("doc_id").to_pylist(), table.column("n").to_pylist()
+        often = np.repeat(np.arange(table.num_rows), table.column("times").to_numpy())
+        ids, n = table.column("doc_id").take(pa.array(often)).to_pylist(), table.column("n").to_numpy()[often].tolist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, n[i]))
         windows: list[tuple[list, list[int], list[int]]] = []
         pieces: dict[int, list[tuple]] = defaultdict(list)
@@ -121,11 +134,14 @@ def _packed(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, lot: int = LOT) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, lot: int = LOT, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row for each window: its lot and number, and of each piece the document, its first token and its length."""
     if capacity < 2:
         raise ValueError("a window holds two tokens at least")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    n_lots = max(1, -(-docs.count() // lot))
-    rows = token_counts(docs).select("doc_id", "n", F.pmod("spread", F.lit(n_lots)).alias("lot"))
+    lots = F.lit(max(1, -(-docs.count() // lot)))
+    rows = token_counts(docs, tokenizer).groupBy("doc_id", "n", "spread").agg(F.count(F.lit(1)).alias("times"))
+    # copies of a row go to successive lots, the same number to each and one more to the first ones
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least("times", lots) - 1)))
+    rows = rows.select("doc_id", "n", F.pmod(F.pmod("spread", lots) + F.col("k"), lots).alias("lot"), (F.floor(F.col("times") / lots) + (F.col("k") < F.pmod("times", lots)).cast("long")).alias("times"))
     return rows.groupBy("lot").applyInArrow(_packed(capacity), f"lot long, window long, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, used long, slack long")

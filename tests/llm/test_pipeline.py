@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from sediment.llm import line_dedup, packing, quality_rules
@@ -101,7 +102,9 @@ def test_decontamination_equals_brute_force(spark, stages):
 def test_windows_hold_every_token_once(stages):
     (_, docs), windows = stages[0][4], stages[1]
     cover = Counter((d, k) for ids, starts, sizes in zip(windows.doc_ids, windows.starts, windows.lengths, strict=True) for d, s, n in zip(ids, starts, sizes, strict=True) for k in range(s, s + n))
-    want = {(d, k) for d, t in zip(docs.doc_id, docs.text, strict=True) if t.split() for k in range(len(t.split()) + 1)}
+    tok = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    tok.encode_special_tokens = True
+    want = {(d, k) for d, t in zip(docs.doc_id, docs.text, strict=True) if t for k in range(len(tok.encode(t, add_special_tokens=False).ids) + 1)}
     assert set(cover) == want and set(cover.values()) == {1}
     assert (windows.used + windows.slack == packing.CAPACITY).all() and (windows.slack >= 0).all()
     assert windows.slack.sum() < packing.CAPACITY
