@@ -1,13 +1,15 @@
 """Chat formatting with masks aligned by offsets.
 
-The turns of a conversation are rendered to one text and encoded once, with the character offsets of every token. The
-spans of the turns to learn from are sorted, and each token's span is intersected with them by binary search, so that
+The turns of a conversation are rendered to one text and encoded once, with the offsets of every token: tokens of a
+byte-level vocabulary follow one another without a gap, so that their lengths in bytes give where each begins and ends.
+The spans of the turns to learn from are sorted, and each token's span is intersected with them by binary search, so that
 the mask doesn't depend on where the tokenizer happens to cut. Conversations are gathered by one shuffle.
 
 Defined results:
 
 * turns are ordered by ``turn``, ties and repeated rows by role and text, nulls first; all of them are rendered;
-* a null role is rendered as ``unknown``, a null text as an empty one; a null ``conv_id`` is one conversation;
+* a null role is rendered as ``unknown``, a null text as an empty one; a row with a null ``conv_id`` is a conversation of
+  its own, equal ones together, so that no task gets all of them;
 * a token that lies partly in a target span is a target; the end marker after an assistant's text is, the role line isn't;
 * markers inside a text are ordinary text and open no span; very long conversations are encoded whole;
 * an empty table gives an empty result; extra columns are ignored, whatever their names.
@@ -15,39 +17,29 @@ Defined results:
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+from .tokens import TOKENIZER, token_bytes, tokenizer
+
 TARGETS = ("assistant",)
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
 def render(turns: list[tuple[str | None, str | None]], targets: tuple[str, ...] = TARGETS) -> tuple[str, list[tuple[int, int]]]:
-    """The conversation's text and the character spans to learn from, in their order."""
+    """The conversation's text and the spans to learn from, in bytes, in their order."""
     parts, spans, at = [], [], 0
     for role, text in turns:
         head = f"{START}{'unknown' if role is None else role}\n"
         body = (text or "") + END
         parts += [head, body, "\n"]
+        begin = at + len(head.encode())
+        at = begin + len(body.encode())
         if role in targets:
-            spans.append((at + len(head), at + len(head) + len(body)))
-        at += len(head) + len(body) + 1
+            spans.append((begin, at))
+        at += 1
     return "".join(parts), spans
 
 
@@ -60,31 +52,29 @@ def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return (k < len(ends)) & (starts[np.minimum(k, len(ends) - 1)] < offsets[:, 1])
 
 
-def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, targets: tuple[str, ...] = TARGETS) -> DataFrame:
+def format_chats(conversations: DataFrame, vocabulary: str = TOKENIZER, targets: tuple[str, ...] = TARGETS) -> DataFrame:
     """``conv_id``, its token ids, a 0/1 loss mask of the same length, and the numbers of turns, tokens and targets."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).alias("alone")
+    turns = conversations.groupBy("conv_id", alone).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     turns = turns.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
     def encode(batches):
-        t = _tokenizer(tokenizer)
+        encode_one, size = tokenizer(vocabulary).encode_ordinary, token_bytes(vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                rendered = [render(list(zip(r, x, strict=True)), targets) for r, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                ids, masks = [], []
-                for e, (_, spans) in zip(t.encode_batch([x for x, _ in rendered], add_special_tokens=False), rendered, strict=True):
-                    ids.append(e.ids)
-                    masks.append(mask(np.array(e.offsets, np.int64).reshape(-1, 2), spans).astype(np.int8))
+                ids, masks, n_turns = [], [], []
+                for roles, texts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    text, spans = render(list(zip(roles, texts, strict=True)), targets)
+                    ids.append(np.array(encode_one(text), np.int32))
+                    ends = np.cumsum(size[ids[-1]])
+                    masks.append(mask(np.column_stack((ends - size[ids[-1]], ends)), spans).astype(np.int8))
+                    n_turns.append(len(roles))
+                offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (ids, masks)]
                 yield pa.record_batch(
-                    [
-                        part.column(0),
-                        pa.array(ids, pa.list_(pa.int32())),
-                        pa.array(masks, pa.list_(pa.int8())),
-                        pa.array([len(r) for r in part.column(1).to_pylist()], pa.int32()),
-                        pa.array([len(i) for i in ids], pa.int32()),
-                        pa.array([int(m.sum()) for m in masks], pa.int32()),
-                    ],
+                    [part.column(0), *lists, pa.array(n_turns, pa.int32()), pa.array(list(map(len, ids)), pa.int32()), pa.array([int(m.sum()) for m in masks], pa.int32())],
                     names=["conv_id", "input_ids", "loss_mask", "n_turns", "n_tokens", "n_targets"],
                 )
 
