@@ -6,12 +6,15 @@ the scaled indicators by dual coordinate descent, with both classes given the sa
 with their mean magnitude, as is usual for this model, and folded with the ratios into one vector of fixed size.
 
 The fit reads a bounded sample of the labelled rows: the ``SAMPLE`` labelled documents first in the order of a hash of
-their identifier. It is one task, whose size doesn't grow with the corpus; only the weights (8 MB a head) come to the
-driver and go to the executors. All documents are then scored in one scan, without a shuffle.
+their identifier, of documents that repeat an identifier the least text. Each head is fit once and once without each of
+``FOLDS`` parts, every fit a task of its own, whose size doesn't grow with the corpus. Only the weights (8 MB a head) and
+the left-out scores of the sample come to the driver, and the weights go to the executors. All documents are then scored
+in one scan, without a shuffle.
 
 Defined results:
 
-* ``keep`` means a quality score of at least 0 and a toxicity score below 0;
+* ``keep`` means a quality score of at least 0 and a toxicity score below 0; of bounds that separate the classes equally
+  well, the middle one counts;
 * a head without labels, or with labels of one class only, scores everything 0 and rejects nothing;
 * null labels are left out, each head by itself; of several labels of a document the worse one counts;
 * null, empty and blank texts have no features, only the bias; very long texts are read whole;
@@ -29,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import discard, written
 from .text import hashes, mix, runs, strings, words_of
 
 BITS = 21
@@ -120,35 +124,43 @@ def _weights(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return ratio * ((1 - BLEND) * np.abs(w[:-1]).mean() + BLEND * w[:-1])
 
 
-def fit(flat: np.ndarray, begins: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Weight of each feature, the bias last. Labels are 1, 0, or negative for none.
+def folds(y: np.ndarray) -> np.ndarray:
+    """The part of each row, both classes dealt out evenly."""
+    out = np.zeros(len(y), np.int64)
+    for c in (y > 0, y < 0):
+        out[c] = np.arange(c.sum()) % FOLDS
+    return out
+
 
-    The blend shifts the scores, so the bias is set anew: where scores of documents left out in turn, a ``FOLDS``-th each
-    time, have the largest difference between the two classes' rates.
+def fit(flat: np.ndarray, begins: np.ndarray, labels: np.ndarray, left_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each feature, fit without a part, or with all for -1; and the scores of that part, without a bias.
+
+    Labels are 1, 0, or negative for none.
     """
-    out = np.zeros((1 << BITS) + 1)
     use = np.flatnonzero(labels >= 0)
     y = np.where(labels[use] > 0, 1.0, -1.0)
     if min((y > 0).sum(), (y < 0).sum()) == 0:
-        return out
+        return np.zeros(0), np.zeros(0)
     rows = [flat[begins[i] : begins[i + 1]] for i in use]
-    score = lambda w, k: w[rows[k]].sum() / max(1.0, len(rows[k])) ** 0.5
-    out[:-1] = _weights(rows, y)
-    fold = np.zeros(len(y), np.int64)
-    for c in (y > 0, y < 0):
-        fold[c] = np.arange(c.sum()) % FOLDS
-    scores = np.zeros(len(y))
-    for f in range(FOLDS):
-        rest = np.flatnonzero(fold != f)
-        w = _weights([rows[k] for k in rest], y[rest]) if abs(y[rest].sum()) < len(rest) else out[:-1]
-        for k in np.flatnonzero(fold == f):
-            scores[k] = score(w, k)
+    fold = folds(y)
+    rest = np.flatnonzero(fold != left_out)
+    if abs(y[rest].sum()) == len(rest):  # a class has one row only
+        rest = np.arange(len(y))
+    w = _weights([rows[k] for k in rest], y[rest])
+    return w, np.array([w[rows[k]].sum() / max(1.0, len(rows[k])) ** 0.5 for k in np.flatnonzero(fold == left_out)])
+
+
+def bias(scores: np.ndarray, y: np.ndarray) -> float:
+    """Less the bound at which the scores have the largest difference between the two classes' rates.
+
+    The blend shifts the scores, so the bias of the fit doesn't serve.
+    """
     order = np.argsort(scores, kind="stable")
     gain = np.concatenate(([0.0], np.cumsum(np.where(y[order] > 0, -1 / (y > 0).sum(), 1 / (y < 0).sum()))))
+    gain[1:-1][scores[order[1:]] == scores[order[:-1]]] = -np.inf  # equal scores are on one side
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     k = int(best[len(best) // 2])
-    out[-1] = -(scores[order[max(k - 1, 0)]] + scores[order[min(k, len(order) - 1)]]) / 2
-    return out
+    return -(scores[order[max(k - 1, 0)]] + scores[order[min(k, len(order) - 1)]]) / 2
 
 
 class Model(NamedTuple):
@@ -156,26 +168,49 @@ class Model(NamedTuple):
     toxic: np.ndarray
 
 
+HEADS = ("quality", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = one.withColumn("spread", F.xxhash64("doc_id")).orderBy("spread", "doc_id").limit(sample)
     # the sample is bounded, so it may go to every executor whatever the corpus
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "spread", *HEADS).agg(F.min("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def read(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, SLICE):
+                part = b.slice(k, SLICE)
+                flat, begins = features(strings(part.column("text")))
+                found = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.record_batch([*[part.column(c) for c in ("doc_id", "spread", *HEADS)], found], names=["doc_id", "spread", *HEADS, "found"])
 
     def learn(table: pa.Table) -> pa.Table:
+        head, left_out = table.column("head")[0].as_py(), table.column("left_out")[0].as_py()
         table = table.sort_by([("spread", "ascending"), ("doc_id", "ascending")])
-        parts, ends = [], [np.zeros(1, np.int64)]
-        for k in range(0, table.num_rows, SLICE):
-            flat, begins = features(strings(table.column("text").slice(k, SLICE)))
-            parts.append(flat.astype(np.int32))
-            ends.append(ends[-1][-1] + begins[1:])
-        flat, begins = np.concatenate(parts), np.concatenate(ends)
-        heads = [fit(flat, begins, pc.fill_null(table.column(c), -1).to_numpy()).astype("<f4").tobytes() for c in ("quality", "toxic")]
-        return pa.table({"quality": pa.array([heads[0]], pa.binary()), "toxic": pa.array([heads[1]], pa.binary())})
-
-    got = rows.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "quality binary, toxic binary").first()
-    none = np.zeros((1 << BITS) + 1, np.float32)
-    return Model(*[np.frombuffer(bytes(got[c]), "<f4") for c in ("quality", "toxic")]) if got else Model(none, none)
+        found = table.column("found").combine_chunks()
+        begins = found.offsets.to_numpy().astype(np.int64)
+        w, scores = fit(found.values.to_numpy(), begins, pc.fill_null(table.column(head), -1).to_numpy(), left_out)
+        return pa.table({"head": [head], "left_out": pa.array([left_out], pa.int32()), "weights": pa.array([w.astype("<f4").tobytes() if left_out < 0 else b""], pa.binary()), "scores": pa.array([scores.astype("<f8").tobytes()], pa.binary())})
+
+    known = written(rows.mapInArrow(read, f"doc_id {kind}, spread long, quality int, toxic int, found array<int>"), "labelled")
+    tasks = docs.sparkSession.createDataFrame([(h, k) for h in HEADS for k in range(-1, FOLDS)], "head string, left_out int")
+    got = {(r["head"], r["left_out"]): r for r in known.crossJoin(F.broadcast(tasks)).groupBy("head", "left_out").applyInArrow(learn, "head string, left_out int, weights binary, scores binary").toLocalIterator()}
+    label = {h: np.array([r[h] for r in known.where(F.col(h).isNotNull()).select("spread", "doc_id", h).orderBy("spread", "doc_id").toLocalIterator()]) for h in HEADS}
+    discard(known)
+
+    def head(h: str) -> np.ndarray:
+        out = np.zeros((1 << BITS) + 1, np.float32)
+        if (h, -1) in got and (w := np.frombuffer(bytes(got[h, -1]["weights"]), "<f4")).size:
+            y = np.where(label[h] > 0, 1.0, -1.0)
+            scores, fold = np.zeros(len(y)), folds(y)
+            for k in range(FOLDS):
+                scores[fold == k] = np.frombuffer(bytes(got[h, k]["scores"]), "<f8")
+            out[:-1], out[-1] = w, bias(scores, y)
+        return out
+
+    return Model(*map(head, HEADS))
 
 
 def score_texts(texts: pa.Array, heads: tuple[np.ndarray, ...]) -> list[np.ndarray]:
