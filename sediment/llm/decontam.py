@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import release
 from .tables import with_text
 from .text import RUN, compact, runs, strings, word_list, words_of
 
@@ -44,6 +45,7 @@ COVERAGE = 0.8
 FLOOR = 5
 DROP = 0.5
 PASS_WORDS = 4_000_000
+SLICE = 500  #: texts that are cut into words at once
 
 
 class Automaton:
@@ -281,6 +283,14 @@ def read_items(benchmark: DataFrame) -> list[list[tuple[int, list[str]]]]:
     return lots
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that the words of many long texts aren't in memory at once."""
+    for b in batches:
+        for k in range(0, max(1, b.num_rows), SLICE):
+            yield b.slice(k, SLICE)
+        release()
+
+
 def _broadcast(docs: DataFrame, benchmark: DataFrame, limits: Limits) -> list:
     return [docs.sparkSession.sparkContext.broadcast(Index(lot, limits)) for lot in read_items(benchmark)]
 
@@ -291,7 +301,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(
     shared = _broadcast(docs, benchmark, limits)
 
     def cut(batches):
-        for b in batches:
+        for b in _slices(batches):
             n_words, _, found = search([s.value for s in shared], strings(b.column(at)))
             keep = np.ones(b.num_rows, bool)
             if found:
@@ -312,7 +322,7 @@ def report(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) ->
     shared = _broadcast(docs, benchmark, limits)
 
     def look(batches):
-        for b in batches:
+        for b in _slices(batches):
             n = b.num_rows
             original = strings(b.column(1)) if n else pa.array([], pa.string())
             text = b.column(1)
