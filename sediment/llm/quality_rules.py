@@ -7,6 +7,8 @@ Defined results:
 
 * a null, empty or blank text has no words; it fails ``min_words`` and is rejected;
 * a rule with a minimum of words doesn't apply to shorter texts, so short clean texts stay;
+* a rule for some languages applies to rows whose ``lang`` names one of those, and to no row where it is null or missing;
+* a ratio that equals its bound passes;
 * very long texts are measured whole;
 * equal rows get equal results and each stays a row; an empty table gives an empty result;
 * extra columns of the input are kept by ``keep_good`` and ignored by ``score``, whatever their names.
@@ -27,9 +29,10 @@ class Rule(NamedTuple):
     sign: str  #: ">=" or "<=": how the ratio must compare with the bound
     bound: float
     least_words: int  #: the rule applies from so many words on
+    langs: tuple[str, ...] = ()  #: and in these languages, or in all
 
 
-#: Words so common that running prose can hardly do without them.
+#: Words so common that running prose in ``STOP_LANGS`` can hardly do without them.
 STOP_WORDS = tuple(
     sorted(
         set(
@@ -41,6 +44,7 @@ STOP_WORDS = tuple(
     )
 )
 
+STOP_LANGS = ("en", "fr", "de", "es")
 SYMBOLS = r"[#$%&*|<>{}~^=\\!]"
 
 #: The production table.
@@ -48,7 +52,7 @@ RULES = (
     Rule("min_words", "words", "one", ">=", 1, 0),
     Rule("max_word_chars", "word_chars", "words", "<=", 24, 1),
     Rule("symbols", "symbols", "chars", "<=", 0.04, 1),
-    Rule("stop_words", "stops", "words", ">=", 0.02, 60),
+    Rule("stop_words", "stops", "words", ">=", 0.02, 60, STOP_LANGS),
     Rule("repeated_words", "repeats", "words", "<=", 0.25, 4),
     Rule("repeated_lines", "repeated_lines", "lines", "<=", 0.5, 1),
     Rule("bullet_lines", "bullets", "lines", "<=", 0.9, 1),
@@ -86,26 +90,32 @@ def _counts(text: Column) -> Column:
     return bound[0]
 
 
-def _failed(counts: Column, rules: tuple[Rule, ...]) -> Column:
+def _lang(docs: DataFrame) -> Column:
+    at = {c.lower(): c for c in docs.columns}
+    return docs[at["lang"]] if "lang" in at else F.lit(None).cast("string")
+
+
+def _failed(counts: Column, rules: tuple[Rule, ...], lang: Column) -> Column:
     def fails(r: Rule) -> Column:
         over = counts[r.over].cast("double")
         bound = F.lit(float(r.bound)) * (F.lit(1.0) if r.under == "one" else counts[r.under].cast("double"))
         wrong = over < bound if r.sign == ">=" else over > bound
-        return F.when(wrong & (counts["words"] >= r.least_words), F.lit(r.name))
+        applies = counts["words"] >= r.least_words
+        return F.when(wrong & (applies & lang.isin(*r.langs) if r.langs else applies), F.lit(r.name))
 
     return F.concat_ws(",", *[fails(r) for r in rules])
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id``, every count, the failed rules in the table's order, and ``keep``: one row for each input row."""
-    counted = docs.select("doc_id", _counts(F.col("text")).alias("c"))
-    named = counted.select("doc_id", *[F.col(f"c.{k}").alias(f"n_{k}") for k in COUNTS], _failed(F.col("c"), rules).alias("failed"))
+    counted = docs.select("doc_id", _lang(docs).alias("lang"), _counts(F.col("text")).alias("c"))
+    named = counted.select("doc_id", *[F.col(f"c.{k}").alias(f"n_{k}") for k in COUNTS], _failed(F.col("c"), rules, F.col("lang")).alias("failed"))
     return named.withColumn("keep", F.col("failed") == "")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns."""
-    return docs.where(_failed(_counts(F.col("text")), rules) == "")
+    return docs.where(_failed(_counts(F.col("text")), rules, _lang(docs)) == "")
 
 
 def score_sql(docs: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
@@ -114,15 +124,16 @@ def score_sql(docs: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
 
     def fails(r: Rule) -> str:
         bound = f"{float(r.bound)!r}::DOUBLE" + ("" if r.under == "one" else f" * n_{r.under}::DOUBLE")
-        return f"CASE WHEN n_{r.over}::DOUBLE {'<' if r.sign == '>=' else '>'} {bound} AND n_words >= {r.least_words} THEN '{r.name}' END"
+        langs = f" AND lang IN ({', '.join(repr(x) for x in r.langs)})" if r.langs else ""
+        return f"CASE WHEN n_{r.over}::DOUBLE {'<' if r.sign == '>=' else '>'} {bound} AND n_words >= {r.least_words}{langs} THEN '{r.name}' END"
 
     return f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM {docs}),
-s AS (SELECT doc_id, text,
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM {docs}),
+s AS (SELECT doc_id, lang, text,
     list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '') AS w,
     list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS x,
     regexp_split_to_array(lower(regexp_replace(text, '[.,;:!?"()]', '', 'g')), '[ \\t\\r\\n]+') AS b FROM t),
-c AS (SELECT doc_id, length(text)::BIGINT AS n_chars, len(w)::BIGINT AS n_words,
+c AS (SELECT doc_id, lang, length(text)::BIGINT AS n_chars, len(w)::BIGINT AS n_words,
     length(regexp_replace(text, '[ \\t\\r\\n]+', '', 'g'))::BIGINT AS n_word_chars,
     (length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,
     len(list_filter(b, lambda v: v IN ({stops})))::BIGINT AS n_stops,
@@ -131,4 +142,4 @@ c AS (SELECT doc_id, length(text)::BIGINT AS n_chars, len(w)::BIGINT AS n_words,
     len(list_filter(x, lambda v: regexp_matches(v, '^[-*•] ')))::BIGINT AS n_bullets,
     len(list_filter(x, lambda v: ends_with(v, '...') OR ends_with(v, '…')))::BIGINT AS n_ellipses FROM s),
 f AS (SELECT *, concat_ws(',', {', '.join(map(fails, rules))}) AS failed FROM c)
-SELECT *, failed = '' AS keep FROM f"""
+SELECT * EXCLUDE (lang), failed = '' AS keep FROM f"""

@@ -41,7 +41,7 @@ def frame(spark, rows=TEXTS):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    docs = pd.DataFrame({"doc_id": pd.array([i for i, *_ in TEXTS], "Int64"), "text": [t for _, t, _ in TEXTS], "source": [s for *_, s in TEXTS]})
+    docs = pd.DataFrame({"doc_id": pd.array([i for i, *_ in TEXTS], "Int64"), "text": [t for _, t, _ in TEXTS], "lang": ["en" if i else None for i, *_ in TEXTS], "source": [s for *_, s in TEXTS]})
     c.register("documents", docs)
     return c
 
@@ -69,6 +69,18 @@ def test_quality_rules(spark, duck):
     assert quality_rules.score(frame(spark).limit(0)).count() == quality_rules.keep_good(frame(spark).limit(0)).count() == 0
 
 
+RUSSIAN = "Старый дом у реки стоял тихо много лет и никто не помнил его хозяина. " * 30
+POLISH = "Stary dom nad rzeka stal cicho przez wiele lat i nikt nie pamietal jego pana. " * 30
+
+
+def test_stop_words_judge_their_languages_only(spark):
+    texts = [(1, RUSSIAN, "ru"), (2, RUSSIAN, None), (3, POLISH, "pl"), (4, "plum stone river " * 80, "en"), (5, "plum stone river " * 80, "de"), (6, LONG, "en")]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.failed for r in quality_rules.score(d).collect()} == {1: "", 2: "", 3: "", 4: "stop_words", 5: "stop_words", 6: ""}
+    assert {r.doc_id for r in quality_rules.keep_good(d.withColumnRenamed("lang", "LANG")).collect()} == {1, 2, 3, 6}
+    assert quality_rules.keep_good(d.drop("lang")).count() == 6
+
+
 def test_rules_are_one_projection(spark):
     plan = quality_rules.score(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
