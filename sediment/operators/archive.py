@@ -1,8 +1,13 @@
 """The archive: content-addressed, rooted and chained observations as Parquet tables.
 
-Tables under one folder: ``sources``, ``snapshots``, ``observations``, ``blobs``, ``changes``, ``diff_runs``,
-``verdicts``. Facts are appended; what the reference semantics update in place is a derived view here. Appends are keyed,
-so a repeated commit of the same observation adds nothing.
+Tables under one folder: ``sources``, ``snapshots``, ``tallies``, ``observations`` by snapshot, ``blobs`` by the first two
+digits of their hash, ``changes``, ``diff_runs``, ``verdicts``, and what an analysis learned. Facts are appended; what the
+reference semantics update in place is a derived view here, and derived tables are made anew. Appends are keyed, so a
+repeated commit of the same observation adds nothing.
+
+A commit reads its source once: root, blobs and records all come from the fingerprints that were written then. It reads
+of the archive its own snapshot's records, the hashes of the observation before, and, for what that one lacks, the hashes
+of blobs with the same first digits.
 """
 
 from __future__ import annotations
@@ -14,17 +19,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.records import fingerprint, roles, sha256
+from ..sources.shared import discard, written
 from .merkle import EMPTY_ROOT, GENESIS, chain_hash, merkle_roots, ranked_leaves
 
 SCHEMAS = {
     "sources": "source_key string, domain string, dataset string, title string, city string, category string, date_field string, business_key array<string>, stratum_start string, stratum_end string, extra_volatile array<string>, agg_dimensions array<string>, pipeline_class string, notes string, added_at string",
-    "snapshots": "snapshot_id long, source_key string, captured_at string, status string, row_count long, merkle_root string, chain_hash string, schema_hash string, columns array<string>, volatile_digest string, frozen_past_count long, identity_mode string, key_collisions long, meta_json string, error string, observations_ref long",
+    "snapshots": "snapshot_id long, source_key string, captured_at string, status string, row_count long, merkle_root string, chain_hash string, schema_hash string, columns array<string>, volatile_digest string, frozen_past_count long, stratum_count long, identity_mode string, key_collisions long, meta_json string, error string, observations_ref long",
     "observations": "snapshot_id long, row_uid string, content_hash string, volatile_hash string",
-    "blobs": "content_hash string, payload map<string,string>",
+    "blobs": "content_hash string, payload map<string,string>, prefix string",
+    "tallies": "snapshot_id long, source_key string, dim string, category string, n long",
     "changes": "change_id long, source_key string, from_snapshot long, to_snapshot long, kind string, row_uid string, before_hash string, after_hash string, field_deltas map<string,struct<before:string,after:string>>, significance double, detail string",
     "diff_runs": "from_snapshot long, to_snapshot long, change_count long",
+    "field_volatility": "source_key string, field string, pairs_seen long, mean_share double, verdict string",
+    "source_stability": "source_key string, pairs_seen long, mean_revised double, verdict string, reason string",
+    "field_dependency": "source_key string, field string, driver string, observations long, conditional double",
+    "analysis_stages": "stage string, change_count long",
     "verdicts": "source_key string, row_uid string, verdict string, found_as string, reason string",
 }
+PARTITIONS = {"observations": ["snapshot_id"], "blobs": ["prefix"]}
 
 
 class Archive:
@@ -40,46 +52,75 @@ class Archive:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(at)
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame, mode: str = "append") -> None:
         kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
         have = set(rows.columns)
         cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields]
-        rows.select(*cols).write.mode("append").option("compression", "zstd").parquet(os.path.join(self.path, name))
+        rows.select(*cols).write.mode(mode).option("compression", "zstd").parquet(os.path.join(self.path, name), partitionBy=PARTITIONS.get(name))
+
+    def clear(self, *names: str) -> None:
+        for name in names:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, name))
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def sources(self) -> DataFrame:
         return latest(self.table("sources"), ["source_key"], "added_at")
 
-    def commit(self, source_key: str, snapshot_id: int, captured_at: str, rows: DataFrame, key: list[str], extra_volatile: tuple[str, ...] = (), arrival: str | None = None, frozen_past_count: int | None = None) -> dict:
-        """Commit one observation of a source; a repeated ``snapshot_id`` changes nothing."""
+    def commit(self, source_key: str, snapshot_id: int, captured_at: str, rows: DataFrame, key: list[str], extra_volatile: tuple[str, ...] = (), arrival: str | None = None, frozen_past_count: int | None = None, stratum_count: int | None = None, tallies: DataFrame | None = None, least_rows: int = 0) -> dict:
+        """Commit one observation of a source; a repeated ``snapshot_id`` changes nothing.
+
+        ``tallies`` has dim, category and n. Fewer rows than ``least_rows`` are an error.
+        """
         snapshots = self.table("snapshots")
         done = snapshots.where((F.col("snapshot_id") == snapshot_id) & (F.col("status") == "ok")).first()
         if done:
             return {"snapshot_id": snapshot_id, "merkle_root": done["merkle_root"], "chain_hash": done["chain_hash"], "row_count": done["row_count"], "deduplicated": done["observations_ref"] is not None}
         columns = sorted(c for c in rows.columns if c != arrival)
-        by_key = fingerprint(rows, key, extra_volatile, keep=[arrival] if arrival else [])
-        total, distinct = by_key.agg(F.count(F.lit(1)), F.countDistinct("row_uid")).first()
+        # a source may answer each reading anew, so it is read once
+        prints = written(fingerprint(rows, key, extra_volatile, keep=[arrival] if arrival else []), "prints")
+        total, distinct = prints.agg(F.count(F.lit(1)), F.countDistinct("row_uid")).first()
+        if total < least_rows:
+            raise ValueError(f"{total} rows in the window")
         mode = "business_key"
+        own = prints
         if total > distinct:
-            by_key, mode = fingerprint(rows, [], extra_volatile, keep=[arrival] if arrival else []), "content"
-        one = first_arrival(by_key, arrival)
+            own, mode = prints.withColumn("row_uid", F.concat(F.lit("sha256:"), "content_hash")), "content"
+        # where every identity stands once there is nothing to choose from
+        one = written(first_arrival(own, arrival), "one-of-each") if total > distinct else own.select("row_uid", F.col("content").alias("payload"), "content_hash", "volatile_hash")
         root, n, digest = roots(one)
         schema_hash = self.spark.range(1).select(sha256(F.to_json(F.array(*[F.lit(c) for c in columns])))).first()[0]
         before = snapshots.where((F.col("source_key") == source_key) & (F.col("status") == "ok")).orderBy(F.desc("snapshot_id")).first()
-        ref = (before["observations_ref"] or before["snapshot_id"]) if before and before["merkle_root"] == root else None
+        owner = (before["observations_ref"] or before["snapshot_id"]) if before else None
+        ref = owner if before and before["merkle_root"] == root else None
         meta = F.to_json(F.struct(F.lit(captured_at).alias("captured_at"), F.lit(digest).alias("volatile_digest"), F.lit(n).alias("row_count"), F.lit(schema_hash).alias("schema_hash"), F.lit(source_key).alias("source_key")))
         row = self.spark.range(1).select(
             F.lit(snapshot_id).alias("snapshot_id"), F.lit(source_key).alias("source_key"), F.lit(captured_at).alias("captured_at"), F.lit("ok").alias("status"), F.lit(n).alias("row_count"), F.lit(root).alias("merkle_root"),
             chain_hash(F.lit(before["chain_hash"] if before else GENESIS), F.lit(root), meta).alias("chain_hash"), F.lit(schema_hash).alias("schema_hash"), F.array(*[F.lit(c) for c in columns]).alias("columns"), F.lit(digest).alias("volatile_digest"),
-            F.lit(frozen_past_count).alias("frozen_past_count"), F.lit(mode).alias("identity_mode"), F.lit(total - distinct).alias("key_collisions"), meta.alias("meta_json"), F.lit(ref).alias("observations_ref"),
+            F.lit(frozen_past_count).alias("frozen_past_count"), F.lit(stratum_count).alias("stratum_count"), F.lit(mode).alias("identity_mode"), F.lit(total - distinct).alias("key_collisions"), meta.alias("meta_json"), F.lit(ref).alias("observations_ref"),
         )
         if ref is None:
-            self.append("blobs", new_blobs(one, self.table("blobs")))
+            self._append_blobs(one, owner)
             stored = self.table("observations").where(F.col("snapshot_id") == snapshot_id)
             self.append("observations", one.withColumn("snapshot_id", F.lit(snapshot_id)).join(stored, "row_uid", "left_anti"))
+        if tallies is not None and not self.table("tallies").where(F.col("snapshot_id") == snapshot_id).limit(1).count():
+            self.append("tallies", tallies.withColumn("snapshot_id", F.lit(snapshot_id)).withColumn("source_key", F.lit(source_key)))
         link = row.first()["chain_hash"]
         self.append("snapshots", row)  # last: an observation exists once its snapshot row does
+        discard(prints, *([one] if total > distinct else []))
         return {"snapshot_id": snapshot_id, "merkle_root": root, "chain_hash": link, "row_count": n, "deduplicated": ref is not None}
 
+    def _append_blobs(self, one: DataFrame, owner: int | None) -> None:
+        """Append the payloads that the archive lacks. Most of an observation is in the one before, whose hashes are few
+        to read; of the blobs, only those partitions are read that the rest could be in."""
+        fresh = one
+        if owner is not None:
+            fresh = one.join(self.table("observations").where(F.col("snapshot_id") == owner).select("content_hash"), "content_hash", "left_anti")
+        fresh = written(fresh.select("content_hash", "payload", F.substring("content_hash", 1, 2).alias("prefix")), "fresh")
+        prefixes = [r[0] for r in fresh.select("prefix").distinct().collect()]  # 256 at most
+        known = self.table("blobs").where(F.col("prefix").isin(*prefixes)) if prefixes else self.table("blobs").limit(0)
+        self.append("blobs", new_blobs(fresh, known).withColumn("prefix", F.substring("content_hash", 1, 2)))
+        discard(fresh)
+
     def fail(self, source_key: str, snapshot_id: int, captured_at: str, error: str) -> None:
         """An attempt that failed is on record too."""
         self.append("snapshots", self.spark.range(1).select(F.lit(snapshot_id).alias("snapshot_id"), F.lit(source_key).alias("source_key"), F.lit(captured_at).alias("captured_at"), F.lit("error").alias("status"), F.lit(error[:2000]).alias("error")))

@@ -20,11 +20,11 @@ def confirm(claims: DataFrame, published: DataFrame, sources: DataFrame) -> Data
     """A verdict for each claim.
 
     ``published`` is what the sources hold now: source_key, key, date_value (text). The key as it was recorded counts
-    before its cleaned form. Sources without a single key field can't be asked.
+    before its cleaned form. Sources without a single key field, and unknown ones, can't be asked.
     """
     s = sources.select("source_key", (F.coalesce(F.size("business_key"), F.lit(0)) == 1).alias("single"), "stratum_start", "stratum_end")
     here = published.where("key IS NOT NULL").groupBy("source_key", "key").agg(F.min("date_value").alias("date_value"))
-    c = claims.join(s, "source_key").withColumn("clean", normal_key(F.col("row_uid")))
+    c = claims.join(s, "source_key", "left").withColumn("single", F.coalesce("single", F.lit(False))).withColumn("clean", normal_key(F.col("row_uid")))
     exact = here.select("source_key", F.col("key").alias("row_uid"), F.lit(True).alias("exact"), F.col("date_value").alias("exact_date"))
     near = here.select("source_key", F.col("key").alias("clean"), F.lit(True).alias("near"), F.col("date_value").alias("near_date"))
     c = c.join(exact, ["source_key", "row_uid"], "left").join(near, ["source_key", "clean"], "left")

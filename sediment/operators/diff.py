@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import deltas as D
+from ..sources.shared import written
 
 PAIR = ("source_key", "from_snapshot", "to_snapshot")
 KINDS = {
@@ -97,7 +98,7 @@ def tally_moves(tallies: DataFrame, pairs: DataFrame) -> DataFrame:
 def tally_shift(tallies: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row for each dimension of a pair whose tallies moved, with how many records that took."""
     by = tally_moves(tallies, pairs).groupBy(*PAIR, "dim").agg(F.sum(F.abs(F.col("after") - F.col("before"))).alias("magnitude"), F.count(F.lit(1)).alias("categories"))
-    return by.withColumn("significance", F.round(F.least(F.lit(1.0), F.lit(0.4) + D.field_weight(F.col("dim")) * 0.4), 3))
+    return by.withColumn("significance", D.rounded(F.least(F.lit(1.0), F.lit(0.4) + D.field_weight(F.col("dim")) * 0.4)))
 
 
 def volatile_churn(snapshots: DataFrame) -> DataFrame:
@@ -108,6 +109,33 @@ def volatile_churn(snapshots: DataFrame) -> DataFrame:
     return both.where("merkle_root = root AND volatile_digest <> digest").select(*PAIR, "rows")
 
 
+def table_changes(snapshots: DataFrame, tallies: DataFrame | None = None) -> DataFrame:
+    """What changed about whole tables: columns, closed-window counts, category tallies, and write bookkeeping alone."""
+    ok = snapshots.where("status = 'ok'")
+    delta = lambda b, a: F.struct(b.cast("string").alias("before"), a.cast("string").alias("after"))
+    none = F.lit(None).cast("string")
+
+    def row(df: DataFrame, kind: str, deltas: Column, significance: Column, detail: Column) -> DataFrame:
+        return df.select(*PAIR, F.lit(kind).alias("kind"), none.alias("row_uid"), none.alias("before_hash"), none.alias("after_hash"), deltas.cast(D.DELTAS).alias("field_deltas"), significance.alias("significance"), detail.alias("detail"))
+
+    drift = schema_drift(ok)
+    out = row(drift, "schema_drift", F.create_map(F.lit("added"), delta(none, F.to_json("added")), F.lit("removed"), delta(F.to_json("removed"), none)), F.col("significance"), F.concat(F.lit("columns added: "), F.array_join("added", ", "), F.lit("; removed: "), F.array_join("removed", ", ")))
+    past = frozen_past_shift(ok.select("source_key", "snapshot_id", "frozen_past_count"))
+    moved = F.when(F.col("after") < F.col("before"), "records left").otherwise("records came into")
+    parts = [
+        row(past, "frozen_past_shift", F.create_map(F.lit("frozen_past_count"), delta(F.col("before"), F.col("after"))), F.col("significance"), F.concat_ws(" ", moved, F.lit("the closed past:"), "before", F.lit("to"), "after")),
+        row(volatile_churn(ok), "provenance_churn", F.lit(None), F.lit(0.0), F.concat_ws(" ", F.lit("all"), "rows", F.lit("records were written again, none of their published values changed"))),
+    ]
+    if tallies is not None:
+        between = pairs(snapshots)
+        by = tally_moves(tallies, between).groupBy(*PAIR, "dim").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", delta(F.col("before"), F.col("after")))))).alias("moved"))
+        shift = tally_shift(tallies, between).join(by, [*PAIR, "dim"])
+        parts.append(row(shift, "tally_shift", F.col("moved"), F.col("significance"), F.concat_ws(" ", F.lit("tallies by"), "dim", F.lit("moved:"), "magnitude", F.lit("records in"), "categories", F.lit("categories"))))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def _per_source(frame: DataFrame | None, value: Column, name: str, base: DataFrame, empty: Column) -> DataFrame:
     if frame is None:
         return base.withColumn(name, empty)
@@ -170,7 +198,7 @@ def identity_churn(changes: DataFrame, volumes: DataFrame, modes: DataFrame | No
         "before_hash",
         "after_hash",
         "field_deltas",
-        F.when(by_content, 0.1).when(by_balance, 0.15).when(partly, F.round(F.col("significance") * (1 - balance), 3)).otherwise(F.col("significance")).alias("significance"),
+        F.when(by_content, 0.1).when(by_balance, 0.15).when(partly, D.rounded(F.col("significance") * (1 - balance))).otherwise(F.col("significance")).alias("significance"),
         F.when(by_content | by_balance, F.concat_ws(" ", "gone", F.lit("left and"), "arrived", F.lit("came: identities moved"))).otherwise(F.col("detail")).alias("detail"),
     )
     return c
@@ -194,7 +222,8 @@ def mark_coordinated(changes: DataFrame) -> DataFrame:
     revision = F.col("kind") == "semantic_revision"
     c = changes.withColumn("signature", F.when(revision, F.sha2(F.to_json(F.array_sort(F.map_entries("field_deltas")), {"ignoreNullFields": "false"}), 256)))
     c = c.withColumn("shape", F.when(revision, F.array_join(F.array_sort(F.map_keys("field_deltas")), "|")))
-    # partial counts are joined back, so that no task holds a whole pair
+    # written, as four parts of the plan read it; partial counts are joined back, so that no task holds a whole pair
+    c = written(c, "classified")
     same = c.where(revision).groupBy(*PAIR, "signature").agg(F.count(F.lit(1)).alias("alike"))
     shape = c.where(revision).groupBy(*PAIR, "shape").agg(F.count(F.lit(1)).alias("shaped"))
     every = c.where(revision).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("revisions"))
@@ -208,7 +237,7 @@ def mark_coordinated(changes: DataFrame) -> DataFrame:
         "before_hash",
         "after_hash",
         "field_deltas",
-        F.when(many, F.round(F.col("significance") * 0.25, 3)).when(rare, F.round(F.least(F.lit(1.0), F.col("significance") + 0.2), 3)).otherwise(F.col("significance")).alias("significance"),
+        F.when(many, D.rounded(F.col("significance") * 0.25)).when(rare, D.rounded(F.least(F.lit(1.0), F.col("significance") + 0.2))).otherwise(F.col("significance")).alias("significance"),
         F.when(many, F.concat_ws(" ", F.lit("one of"), "alike", F.lit("records changed alike"))).when(rare, F.concat(F.col("detail"), F.lit("; nothing comparable in this pair"))).otherwise(F.col("detail")).alias("detail"),
     )
 
@@ -223,9 +252,11 @@ def volumes(status: DataFrame) -> DataFrame:
     return status.where("status IN ('departed', 'arrived')").groupBy(*PAIR).agg(count("departed").alias("gone"), count("arrived").alias("arrived"))
 
 
-def record_changes(status: DataFrame, deltas: DataFrame, seen: DataFrame, controls: Controls = Controls(), drift: DataFrame | None = None, modes: DataFrame | None = None) -> DataFrame:
-    """All classified changes of records, after identity churn, withdrawal and coordination, in that order."""
+def record_changes(status: DataFrame, deltas: DataFrame, seen: DataFrame, controls: Controls = Controls(), drift: DataFrame | None = None, modes: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """All classified changes of records, and of ``tables``, after identity churn, withdrawal and coordination, in that order."""
     found = classify_revisions(deltas, controls, drift).select(*COLUMNS).unionByName(classify_presence(status, seen, controls))
+    if tables is not None:
+        found = found.unionByName(tables.select(*COLUMNS))
     return mark_coordinated(withdraw_unstable(identity_churn(found, volumes(status), modes), controls.unstable))
 
 

@@ -43,7 +43,6 @@ def levels(nodes: list[bytes]) -> list[list[bytes]]:
 
 def ranked_leaves(observations: DataFrame, group: str = "snapshot_id") -> DataFrame:
     """``group``, ``pos`` (0 for the least ``row_uid``), ``row_uid`` and ``leaf``."""
-    spark = observations.sparkSession
     leaves = observations.select(group, "row_uid", leaf_hash(F.col("row_uid"), F.col("content_hash")).alias("leaf"))
     ordered = leaves.repartitionByRange(group, "row_uid").sortWithinPartitions(group, "row_uid")
     # written, so that the partitions are the same for the offsets and for the rows
@@ -51,7 +50,6 @@ def ranked_leaves(observations: DataFrame, group: str = "snapshot_id") -> DataFr
     counts = fixed.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    assert spark is not None
     return fixed.join(offsets, [group, "part"]).select(group, (F.col("offset") + F.col("at") - F.col("first")).alias("pos"), "row_uid", "leaf")
 
 

@@ -2,36 +2,93 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import json
-from collections.abc import Callable, Iterable, Mapping
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import confirm, diff, discovery, publishers, report
 from ..operators.archive import Archive, pending_pairs, prune
 from ..sources.shared import written
+from ..sources.tables import stratum, tallies, window_counts
 from .analysis import Analysis, analyse
 
 #: Tables that the analysis makes and may make again; verdicts are observations and stay.
-DERIVED = ("changes", "diff_runs")
-
-
-def sweep(archive: Archive, read: Mapping[str, Callable[[], DataFrame]], keys: Mapping[str, list[str]], captured_at: str, first_id: int) -> dict[str, str]:
-    """Observe every source once; one that fails is on record as failed and doesn't hold up the others."""
+DERIVED = ("changes", "diff_runs", "field_volatility", "source_stability", "field_dependency")
+DEADLINE_S = 900.0  #: no source may hold up a sweep for longer
+TALLIED = 3  #: dimensions of a source that are counted, and the categories of each
+CATEGORIES = 200
+
+
+@contextlib.contextmanager
+def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """Cancels the jobs that are started inside once the time is over."""
+    sc, group, late, over = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not over.wait(seconds):
+            late.set()
+            while not over.wait(0.5):  # also jobs that start after the first was cancelled
+                sc.cancelJobGroup(group)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    before = sc.getLocalProperty("spark.jobGroup.id")
+    sc.setJobGroup(group, "a source with a deadline", interruptOnCancel=True)
+    watcher.start()
+    try:
+        yield
+    except Exception as e:
+        raise TimeoutError(f"exceeded the deadline of {seconds:.0f} s") if late.is_set() else e
+    finally:
+        over.set()
+        watcher.join()
+        sc.setLocalProperty("spark.jobGroup.id", before)
+
+
+def observe(archive: Archive, source: str, snapshot_id: int, captured_at: str, rows: DataFrame, key: list[str], window: Mapping[str, Any] | None = None) -> dict:
+    """Commit a source's rows; of a source with a ``window`` (date_field, stratum_start, stratum_end, agg_dimensions) the
+    rows of its closed window, with the counts of its past and the tallies of its dimensions."""
+    if window is None:
+        return archive.commit(source, snapshot_id, captured_at, rows, key)
+    span = (window["date_field"], window["stratum_start"], window["stratum_end"])
+    inside = stratum(rows, *span)
+    counts = window_counts(rows, *span).first()
+    dims = [c for c in (window.get("agg_dimensions") or ())[:TALLIED] if c in rows.columns]
+    by = tallies(inside, dims, CATEGORIES) if dims else None
+    return archive.commit(source, snapshot_id, captured_at, inside, key, tuple(window.get("extra_volatile") or ()), frozen_past_count=counts["frozen_past_count"], stratum_count=counts["stratum_count"], tallies=by, least_rows=1)
+
+
+def sweep(archive: Archive, read: Mapping[str, Callable[[], DataFrame]], keys: Mapping[str, list[str]], captured_at: str, first_id: int, windows: Mapping[str, Mapping[str, Any]] | None = None, seconds: float = DEADLINE_S) -> dict[str, str]:
+    """Observe every source once; one that fails or takes too long is on record as failed and doesn't hold up the others."""
     said = {}
     for k, source in enumerate(sorted(read)):
         try:
-            got = archive.commit(source, first_id + k, captured_at, read[source](), keys[source])
+            with deadline(archive.spark, seconds):
+                got = observe(archive, source, first_id + k, captured_at, read[source](), keys[source], (windows or {}).get(source))
             said[source] = "same" if got["deduplicated"] else "ok"
-        except (OSError, ValueError, RuntimeError) as e:
-            archive.fail(source, first_id + k, captured_at, str(e))
+        except Exception as e:  # whatever a source does, also only when Spark reads it
+            archive.fail(source, first_id + k, captured_at, f"{type(e).__name__}: {e}")
             said[source] = "error"
     return said
 
 
+def reset_analysis(archive: Archive) -> None:
+    """Clear what an analysis derived; observations and verdicts stay."""
+    archive.clear(*DERIVED)
+
+
+def store_analysis(archive: Archive, found: Analysis) -> None:
+    """Keep what an analysis learned, and how many changes each of its passes gave, in place of what was there."""
+    for name, rows in (("field_volatility", found.volatility), ("source_stability", found.stability), ("field_dependency", found.dependency), ("analysis_stages", found.stages)):
+        archive.append(name, rows, "overwrite")
+
+
 def discover(tables: Iterable[tuple[Mapping[str, Any], Callable[[], DataFrame]]], now: dt.datetime) -> tuple[list[dict], dict[str, str]]:
     """Watchlist rows of the tables that qualify, and why the others don't."""
     accepted, rejected = [], {}
@@ -48,14 +105,14 @@ def run_analysis(archive: Archive, verdicts: DataFrame | None = None) -> Analysi
     """Both passes over all pairs of the archive."""
     snapshots = archive.table("snapshots")
     modes = diff.pairs(snapshots).join(snapshots.select(F.col("snapshot_id").alias("to_snapshot"), "identity_mode"), "to_snapshot").select(*diff.PAIR, "identity_mode")
-    return analyse(snapshots, archive.table("observations"), archive.table("blobs"), archive.table("verdicts") if verdicts is None else verdicts, diff.schema_drift(snapshots), modes)
+    return analyse(snapshots, archive.table("observations"), archive.table("blobs"), archive.table("verdicts") if verdicts is None else verdicts, diff.schema_drift(snapshots), modes, diff.table_changes(snapshots, archive.table("tallies")))
 
 
 def record_pending(archive: Archive, changes: DataFrame) -> int:
     """Append the changes of pairs that aren't on record, then mark those pairs; running it again adds nothing."""
     pairs = written(pending_pairs(diff.pairs(archive.table("snapshots")), archive.table("diff_runs")).select(*diff.PAIR), "pending")
     new = changes.join(pairs, [*diff.PAIR], "left_semi")
-    new = written(new.withColumn("change_id", F.xxhash64(*diff.PAIR, "kind", "row_uid")), "new-changes")
+    new = written(new.withColumn("change_id", F.xxhash64(*diff.PAIR, "kind", "row_uid", "detail")), "new-changes")
     per = pairs.join(new.groupBy(*diff.PAIR).agg(F.count(F.lit(1)).alias("change_count")), [*diff.PAIR], "left").fillna(0, ["change_count"])
     archive.append("changes", new)
     archive.append("diff_runs", per)

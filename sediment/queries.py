@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from .operators import diff, discovery, merkle, publishers, report, volatility
 from .plans import observed as O
 from .plans.analysis import analyse
 from .plans.observed import table
-from .sources.shared import written
+from .sources.shared import checkpoint_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,9 +76,12 @@ def field_roles(spark, d):
     return names.select("name", F.when(R.is_system(F.col("name")), "system").when(R.is_volatile(F.col("name")), "volatile").otherwise("semantic").alias("role"))
 
 
-@query("SELECT p_type AS name, CASE WHEN regexp_matches(lower(p_type), 'type|class') THEN 1.0 ELSE 0.4 END::DOUBLE AS weight, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'crime_type' ELSE 'shade' END AS p_type, p_partkey FROM part) GROUP BY ALL")
+WEIGHED = {"crime_type": 1.0, "case_status": 0.95, "report_date": 0.9, "arrest_date": 0.9, "fee_amount": 0.85, "comments": 0.7, "weapon_used": 1.0, "ward": 0.5, "street": 0.45, "longitude": 0.2, "permit_number": 0.3, "shade": 0.4}
+
+
+@query(f"SELECT name, weight, count(*) AS n FROM (SELECT ({list(WEIGHED)})[p_partkey % 12 + 1] AS name, ({list(WEIGHED.values())})[p_partkey % 12 + 1]::DOUBLE AS weight FROM part) GROUP BY ALL")
 def field_weights(spark, d):
-    names = table(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, "crime_type").otherwise("shade").alias("name"))
+    names = table(spark, d, "part").select(F.element_at(F.array(*map(F.lit, WEIGHED)), (F.col("p_partkey") % 12 + 1).cast("int")).alias("name"))
     return names.groupBy("name", D.field_weight(F.col("name")).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -138,12 +143,12 @@ def field_deltas(spark, d):
     return _deltas(spark, d).select("from_snapshot", "to_snapshot", "row_uid", F.explode("deltas").alias("field", "v")).select("from_snapshot", "to_snapshot", "row_uid", "field", "v.before", "v.after")
 
 
-@query(f"WITH {O.STATUS_SQL} SELECT from_snapshot, row_uid, before_hash FROM st WHERE status = 'departed'")
+@query(f"WITH {O.VERSIONS_SQL} SELECT a.snapshot_id AS from_snapshot, a.row_uid, a.content_hash AS before_hash FROM obs a ANTI JOIN obs b ON b.snapshot_id = a.snapshot_id + 1 AND b.row_uid = a.row_uid WHERE a.snapshot_id < 3")
 def departures_anti(spark, d):
     return _compared(spark, d)[1].where("status = 'departed'").select("from_snapshot", "row_uid", "before_hash")
 
 
-@query(f"WITH {O.STATUS_SQL} SELECT from_snapshot, row_uid, after_hash FROM st WHERE status = 'arrived'")
+@query(f"WITH {O.VERSIONS_SQL} SELECT b.snapshot_id - 1 AS from_snapshot, b.row_uid, b.content_hash AS after_hash FROM obs b ANTI JOIN obs a ON a.snapshot_id = b.snapshot_id - 1 AND a.row_uid = b.row_uid WHERE b.snapshot_id > 1")
 def arrivals_anti(spark, d):
     return _compared(spark, d)[1].where("status = 'arrived'").select("from_snapshot", "row_uid", "after_hash")
 
@@ -235,6 +240,44 @@ def volatile_digest_churn(spark, d):
     return diff.volatile_churn(O.watched_snapshots(spark, d))
 
 
+@query(f"""WITH {O.SNAPSHOTS_SQL}, p AS (SELECT source_key, snapshot_id AS from_snapshot, {_LEAD.format('snapshot_id')} AS to_snapshot, columns AS b, {_LEAD.format('columns')} AS a, frozen_past_count AS past, {_LEAD.format('frozen_past_count')} AS now,
+  merkle_root, {_LEAD.format('merkle_root')} AS root, volatile_digest, {_LEAD.format('volatile_digest')} AS digest FROM snap WHERE status = 'ok'),
+q AS (SELECT *, from_snapshot // 60 AS x, to_snapshot // 60 AS y FROM p WHERE to_snapshot IS NOT NULL)
+SELECT source_key, from_snapshot, to_snapshot, 'schema_drift' AS kind, 0.9::DOUBLE AS significance, 2 AS parts FROM q WHERE a <> b
+UNION ALL SELECT source_key, from_snapshot, to_snapshot, 'frozen_past_shift', CASE WHEN now < past THEN 0.95 ELSE 0.55 END, 1 FROM q WHERE now <> past
+UNION ALL SELECT source_key, from_snapshot, to_snapshot, 'provenance_churn', 0, 0 FROM q WHERE merkle_root = root AND volatile_digest <> digest
+UNION ALL SELECT source_key, from_snapshot, to_snapshot, 'tally_shift', 0.6, 1 FROM q WHERE x <> y""")
+def table_changes(spark, d):
+    s = O.watched_snapshots(spark, d)
+    counted = F.array(F.struct(F.lit("north").alias("category"), F.floor(F.col("snapshot_id") / 60).alias("n")), F.struct(F.lit("south").alias("category"), F.lit(7).cast("long").alias("n")))
+    tallied = s.select("source_key", "snapshot_id", F.lit("ward").alias("dim"), F.explode(counted).alias("c")).select("source_key", "snapshot_id", "dim", "c.category", "c.n")
+    return diff.table_changes(s, tallied).select(*diff.PAIR, "kind", "significance", F.coalesce(F.size("field_deltas"), F.lit(0)).alias("parts"))
+
+
+#: By the key's remainder: the deltas of a record, the kind that they make, and its weight.
+REVISED = (
+    ({"names": ("a,b", "b,a")}, "ordering_change", 0.15),
+    ({"paid": ("0", "4"), "due": ("9", "5")}, "balance_transfer", 0.2),
+    ({"closed": (None, "2024")}, "lifecycle_progression", 0.2),
+    ({"current_step": ("1", "2")}, "lifecycle_progression", 0.2),
+    ({"age": ("1", "2")}, "provenance_churn", 0.0),
+    ({"closed_on": ("a", "b"), "open_days": ("1", "2")}, "semantic_revision", 0.4),
+    ({"crime_type": ("a", "b"), "case_status": ("c", "d")}, "semantic_revision", 0.4),
+    ({"price": ("5", "6")}, "semantic_revision", 0.4),
+    ({"names": ("a,b", "b,a"), "crime_type": ("a", "b")}, "semantic_revision", 0.3),
+)
+
+
+@query(f"SELECT p_partkey::VARCHAR AS row_uid, ({[k for _, k, _ in REVISED]})[p_partkey % {len(REVISED)} + 1] AS kind, ({[w for *_, w in REVISED]})[p_partkey % {len(REVISED)} + 1]::DOUBLE AS significance FROM part")
+def revision_kinds(spark, d):
+    value = lambda b, a: F.struct(F.lit(b).cast("string").alias("before"), F.lit(a).cast("string").alias("after"))
+    each = F.array(*[F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), value(*v).alias("value")) for k, v in x.items()])) for x, *_ in REVISED])
+    rows = table(spark, d, "part").select(F.lit("s").alias("source_key"), F.lit(1).cast("long").alias("from_snapshot"), F.lit(2).cast("long").alias("to_snapshot"), F.col("p_partkey").cast("string").alias("row_uid"), F.element_at(each, (F.col("p_partkey") % len(REVISED) + 1).cast("int")).alias("deltas"))
+    rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in ("before_hash", "after_hash")])
+    controls = diff.Controls(spark.createDataFrame([("s", "age")], "source_key string, field string"), spark.createDataFrame([("s", "open_days", "closed_on")], "source_key string, field string, driver string"))
+    return diff.classify_revisions(rows, controls).select("row_uid", "kind", "significance")
+
+
 @query(f"""WITH {O.changes_sql()} SELECT source_key, from_snapshot, kind, count(*) AS n FROM chg WHERE NOT (source_key IN ('n3', 'n4') AND kind IN ('semantic_revision', 'coordinated_revision', 'deletion', 'retroactive_append', 'identity_churn', 'provenance_churn')) AND kind <> 'withdrawn_unstable_key' GROUP BY ALL
 UNION ALL SELECT source_key, from_snapshot, 'withdrawn_unstable_key', count(DISTINCT from_snapshot) FROM chg WHERE source_key IN ('n3', 'n4') AND kind IN ('semantic_revision', 'coordinated_revision', 'deletion', 'retroactive_append', 'identity_churn', 'provenance_churn') GROUP BY ALL""")
 def withdrawn_unstable(spark, d):
@@ -302,7 +345,8 @@ def key_stability(spark, d):
     return volatility.source_stability(moves, volatility.field_volatility(moves), sizes).select("source_key", "pairs_seen", "mean_revised", "verdict")
 
 
-@query()
+# two pairs teach nothing, as three are the least, so both passes give the same changes
+@query(f"WITH {O.STATUS_SQL} SELECT unnest(['probe', 'controlled']) AS stage, (SELECT count(*) FROM changes) AS change_count")
 def two_pass_analysis(spark, d):
     obs = written(O.observations(spark, d).select("snapshot_id", "row_uid", "payload", "content_hash"), "observations")
     return analyse(O.snapshots(spark).withColumn("row_count", F.lit(1000).cast("long")), obs, obs.select("content_hash", "payload").dropDuplicates(["content_hash"])).stages
@@ -333,6 +377,17 @@ def merkle_root(spark, d):
     return merkle.merkle_roots(_leaves(spark, d))
 
 
+@query(f"WITH {_TREE_SQL} SELECT t.snapshot_id, t.node AS merkle_root, s.n AS row_count, s.n AS stored FROM tree t JOIN (SELECT snapshot_id, count(*) AS n FROM obs GROUP BY 1) s USING (snapshot_id) WHERE t.size = 1")
+def committed_archive(spark, d):
+    """Three commits to an archive, and of what it stores then: each snapshot's root, and how many records have their payload."""
+    arc = A.Archive(spark, f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}")
+    rows = O.versions(spark, d)
+    for n in (1, 2, 3):
+        arc.commit("orders", n, f"2024-01-0{n}", rows.where(F.col("snapshot_id") == n).drop("snapshot_id"), ["o_orderkey"])
+    stored = arc.table("observations").join(arc.table("blobs").select("content_hash"), "content_hash").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("stored"))
+    return arc.table("snapshots").join(stored, "snapshot_id").select("snapshot_id", "merkle_root", "row_count", "stored")
+
+
 @query(f"""WITH {_TREE_SQL}, w AS (SELECT snapshot_id, pos AS leaf_index, leaf FROM leaf WHERE pos % 1000 = 7)
 SELECT w.snapshot_id, w.leaf_index, w.leaf, string_agg((CASE WHEN t.pos % 2 = 1 THEN 'right:' ELSE 'left:' END) || t.node, ',' ORDER BY t.level) AS proof, max(r.node) AS merkle_root
 FROM w JOIN tree t ON t.snapshot_id = w.snapshot_id AND t.size > 1 AND t.pos = xor(w.leaf_index >> t.level, 1) JOIN tree r ON r.snapshot_id = w.snapshot_id AND r.size = 1 GROUP BY 1, 2, 3""")
@@ -503,13 +558,16 @@ def curate_plan(spark, d):
     return discovery.curate_plan(O.watched(spark, d), O.watched_snapshots(spark, d))
 
 
-@query(f"""WITH {O.changes_sql()} SELECT kind, count(*) AS n FROM chg WHERE source_key NOT IN ('n1', 'n2') GROUP BY 1""")
+@query(f"""WITH {O.changes_sql()}, {O.WATCHED_SQL}, {O.SNAPSHOTS_SQL}, kept AS (SELECT * FROM snap WHERE source_key NOT IN ('n1', 'n2'))
+SELECT 'changes' AS "table", count(*) AS n FROM chg WHERE source_key NOT IN ('n1', 'n2') UNION ALL SELECT 'sources', count(*) FROM src WHERE source_key NOT IN ('n1', 'n2')
+UNION ALL SELECT unnest(['snapshots', 'observations', 'diff_runs']), (SELECT count(*) FROM kept) UNION ALL SELECT 'blobs', count(DISTINCT merkle_root) FROM kept""")
 def prune_cascade(spark, d):
     doomed = spark.createDataFrame([("n1",), ("n2",)], "source_key string")
     s = O.watched_snapshots(spark, d)
     obs = s.select("snapshot_id", F.col("merkle_root").alias("content_hash"))
     tables = {"sources": O.watched(spark, d), "snapshots": s, "observations": obs, "changes": O.recorded_changes(spark, d), "diff_runs": s.select(F.col("snapshot_id").alias("to_snapshot")), "blobs": obs.select("content_hash").distinct()}
-    return A.prune(tables, doomed)["changes"].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n") for name, t in A.prune(tables, doomed).items()]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @query("""WITH c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 1 THEN '"' || o_orderkey ELSE o_orderkey::VARCHAR END AS row_uid FROM orders WHERE o_orderkey % 20 < 6)
@@ -538,10 +596,14 @@ def findings_top_per_kind(spark, d):
 
 
 @query(f"""WITH {O.changes_sql()}, {O.WATCHED_SQL}, {O.SNAPSHOTS_SQL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY significance DESC, change_id DESC) AS k FROM chg) WHERE k <= 30 ORDER BY significance DESC, change_id DESC LIMIT 420)
-SELECT change_id, title, a.captured_at AS observed_before, b.merkle_root AS root_after, 'https://data.example.org/d/' || lpad(n_nationkey::VARCHAR, 4, '0') || '-aaaa' AS portal_url FROM t JOIN src USING (source_key) LEFT JOIN snap a ON a.snapshot_id = from_snapshot LEFT JOIN snap b ON b.snapshot_id = to_snapshot""")
+SELECT change_id, title, a.captured_at AS observed_before, b.merkle_root AS root_after, 'https://data.example.org/d/' || lpad(n_nationkey::VARCHAR, 4, '0') || '-aaaa' AS portal_url,
+CASE WHEN change_id % 50 < 40 THEN 'v' || change_id % 50 ELSE 'none' END AS record_before, CASE WHEN change_id % 45 < 40 THEN 'v' || change_id % 45 ELSE 'none' END AS record_after FROM t JOIN src USING (source_key) LEFT JOIN snap a ON a.snapshot_id = from_snapshot LEFT JOIN snap b ON b.snapshot_id = to_snapshot""")
 def findings(spark, d):
-    blobs = spark.createDataFrame([], "content_hash string, payload map<string,string>")
-    return report.findings(O.recorded_changes(spark, d), O.watched(spark, d), O.watched_snapshots(spark, d), blobs).select("change_id", "title", "observed_before", "root_after", "portal_url")
+    named = lambda c: F.concat(F.lit("h"), c.cast("string"))
+    blobs = spark.range(40).select(named(F.col("id")).alias("content_hash"), F.create_map(F.lit("x"), F.concat(F.lit("v"), F.col("id").cast("string"))).alias("payload"))
+    changes = O.recorded_changes(spark, d).withColumn("before_hash", named(F.col("change_id") % 50)).withColumn("after_hash", named(F.col("change_id") % 45))
+    text = lambda c: F.coalesce(F.col(c)["x"], F.lit("none")).alias(c)
+    return report.findings(changes, O.watched(spark, d), O.watched_snapshots(spark, d), blobs).select("change_id", "title", "observed_before", "root_after", "portal_url", text("record_before"), text("record_after"))
 
 
 @query(f"""WITH {O.changes_sql()} SELECT count(*) AS total_changes, count(*) FILTER (kind = 'deletion') AS deletions, count(*) FILTER (kind = 'semantic_revision') AS isolated_revisions,
@@ -569,7 +631,8 @@ def sources_table(spark, d):
     return report.sources_table(O.watched(spark, d), O.watched_snapshots(spark, d)).select("source_key", "snapshots", "failures", "last_seen", "distinct_states", "identity_mode", "can_attribute_revision", F.coalesce("frozen_past_count", F.lit(-1)).alias("frozen_past_count"))
 
 
-@query()
+@query(f"""WITH {O.VERSIONS_SQL} SELECT 'chains' AS "check", 1::BIGINT AS checked, 0::BIGINT AS failed, true AS ok UNION ALL SELECT 'merkle_roots', count(DISTINCT snapshot_id), 0, true FROM obs
+UNION ALL SELECT 'blobs', count(DISTINCT content_hash), 0, true FROM obs UNION ALL SELECT 'inclusion_proofs', least(3, count(*)), 0, true FROM (SELECT snapshot_id FROM obs GROUP BY 1 HAVING count(*) > 4) UNION ALL SELECT 'dedup_pointers', 0, 0, true""")
 def verify_archive(spark, d):
     obs = O.observations(spark, d)
     o = obs.select("snapshot_id", "row_uid", "content_hash")

@@ -22,8 +22,8 @@ PAUSE_S = 0.7
 RETRIES = 4
 LONGEST_WAIT_S = 60.0
 PAGE = 2000
-#: Headers that tell when and from what a response was made.
-PROVENANCE = ("last-modified", "etag", "date", "age", "x-cache", "content-type")
+#: Headers that tell when and from what a response was made, two of them the portal's own account of its data.
+PROVENANCE = ("last-modified", "etag", "x-soda2-truth-last-modified", "x-soda2-data-out-of-date", "age", "date")
 
 
 class PortalError(RuntimeError):

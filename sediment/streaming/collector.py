@@ -35,8 +35,8 @@ def collect(stream: DataFrame, archive: Archive, keys: dict[str, Sequence[str]],
                     continue
                 try:
                     archive.commit(key, snapshot, r["at"], batch.where(F.col("source_key") == key).drop("source_key", "captured_at"), list(keys[key]))
-                except (ValueError, ArithmeticError) as e:  # a difficult table; anything else is a fault of ours and stops the query
-                    archive.fail(key, snapshot, r["at"], str(e))
+                except Exception as e:  # a difficult table, also one that only fails when Spark computes it
+                    archive.fail(key, snapshot, r["at"], f"{type(e).__name__}: {e}")
         finally:
             batch.unpersist()
 

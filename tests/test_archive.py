@@ -45,6 +45,17 @@ def test_pointer_chain_and_blobs(spark, arc):
     assert checks["blobs"] == 1 and checks["merkle_roots"] == 1 and checks["chains"] == 0
 
 
+def test_a_source_that_answers_each_reading_anew(spark, arc):
+    import uuid
+
+    anew = F.udf(lambda: uuid.uuid4().hex, "string").asNondeterministic()
+    for n, data in ((1, [(f"A{i}",) for i in range(20)]), (2, [("A1",), ("A1",), ("A2",)])):
+        got = arc.commit("s", n, "2024", spark.createDataFrame(data, "case string").withColumn("type", anew()), ["case"])
+        stored = arc.table("observations").where(F.col("snapshot_id") == n)
+        assert merkle.merkle_roots(merkle.ranked_leaves(stored)).first().merkle_root == got["merkle_root"]
+        assert stored.join(arc.table("blobs"), "content_hash").count() == stored.count() == got["row_count"] == len(data)
+
+
 def test_colliding_keys_fall_back_to_content(spark, arc):
     data = [("A1", "THEFT", "d"), ("A1", "ARSON", "d"), ("A2", "THEFT", "d"), ("A2", "THEFT", "d")]
     got = arc.commit("s", 1, "2024", rows(spark, data), ["case"])
@@ -135,7 +146,7 @@ def test_portal_client():
         portal.Client(Fake(1, [404]), sleep=slept.append).rows("d", "x")
     with pytest.raises(portal.PortalError):
         portal.Client(Fake(1, [500] * 9), sleep=slept.append).rows("d", "x")
-    assert portal.provenance({"ETag": "e", "X-Other": "o"}) == {"etag": "e"}
+    assert portal.provenance({"ETag": "e", "X-Other": "o", "X-SODA2-Truth-Last-Modified": "t"}) == {"etag": "e", "x-soda2-truth-last-modified": "t"}
 
 
 def test_portal_reader_covers_every_row_once():

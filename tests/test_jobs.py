@@ -31,6 +31,48 @@ def test_sweep_analyse_confirm(spark, tmp_path):
     assert doomed.count() == 1 and tables["snapshots"].where("source_key = 's'").count() == 0
 
 
+def test_a_source_that_fails_or_hangs_when_it_is_read(spark, tmp_path):
+    import time
+
+    arc = A.Archive(spark, str(tmp_path / "a"))
+    slow = F.udf(lambda i: time.sleep(60) or i, "long")
+    read = {
+        "fails": lambda: spark.range(5).select(F.when(F.col("id") == 3, F.raise_error(F.lit("gone"))).otherwise(F.lit("x")).alias("case")),
+        "hangs": lambda: spark.range(5).select(slow("id").cast("string").alias("case")),
+        "works": lambda: spark.range(5).select(F.col("id").cast("string").alias("case")),
+    }
+    began = time.monotonic()
+    said = jobs.sweep(arc, {k: read[k] for k in ("fails", "works")}, dict.fromkeys(read, ["case"]), "2024-01-01", 1)
+    assert said == {"fails": "error", "works": "ok"}
+    assert jobs.sweep(arc, {"hangs": read["hangs"]}, {"hangs": ["case"]}, "2024-01-01", 9, seconds=3) == {"hangs": "error"} and time.monotonic() - began < 100
+    errors = {r.source_key: r.error for r in arc.table("snapshots").where("status = 'error'").collect()}
+    assert "gone" in errors["fails"] and "deadline of 3 s" in errors["hangs"]
+    assert spark.range(3).count() == 3
+
+
+def test_changes_of_whole_tables_are_recorded(spark, tmp_path):
+    arc = A.Archive(spark, str(tmp_path / "a"))
+    window = {"date_field": "day", "stratum_start": "2020-01-01", "stratum_end": "2021-01-01", "agg_dimensions": ["type", "none"]}
+    base = [(f"A{i}", "THEFT" if i % 2 else "ARSON", "2020-05-01") for i in range(10)] + [("B", "THEFT", "2019-05-01"), ("C", "THEFT", "2022-05-01")]
+    frame = lambda data: spark.createDataFrame(data, "case string, type string, day string")
+    states = [frame(base), frame(base).withColumn("last_updated", F.lit("2")), frame(base).withColumn("last_updated", F.lit("3")), frame([(c, "FRAUD" if c == "A1" else t, d) for c, t, d in base if c != "B"]).withColumn("last_updated", F.lit("3"))]
+    for n, rows in enumerate(states, 1):
+        assert jobs.sweep(arc, {"s": lambda rows=rows: rows}, {"s": ["case"]}, f"2024-01-0{n}", n, {"s": window}) == {"s": "same" if n in (2, 3) else "ok"}
+    assert jobs.sweep(arc, {"s": lambda: states[0].limit(0)}, {"s": ["case"]}, "2024-01-05", 5, {"s": window}) == {"s": "error"}
+    snaps = {r.snapshot_id: (r.frozen_past_count, r.stratum_count, r.row_count) for r in arc.table("snapshots").where("status = 'ok'").collect()}
+    assert snaps == {1: (11, 10, 10), 2: (11, 10, 10), 3: (11, 10, 10), 4: (10, 10, 10)}
+    found = jobs.run_analysis(arc)
+    jobs.store_analysis(arc, found)
+    jobs.store_analysis(arc, found)
+    assert jobs.record_pending(arc, found.changes) == 6
+    kinds = {(r.from_snapshot, r.kind): (r.row_uid, r.significance) for r in arc.table("changes").collect()}
+    assert kinds == {(1, "schema_drift"): (None, 0.5), (1, "provenance_churn"): (None, 0.0), (2, "provenance_churn"): (None, 0.0), (3, "frozen_past_shift"): (None, 0.95), (3, "tally_shift"): (None, 0.8), (3, "semantic_revision"): ("A1", 1.0)}
+    assert {r.stage: r.change_count for r in arc.table("analysis_stages").collect()} == {"probe": 6, "controlled": 6}
+    jobs.reset_analysis(arc)
+    assert arc.table("changes").count() == arc.table("diff_runs").count() == 0 and arc.table("observations").count() == 20
+    assert jobs.record_pending(arc, found.changes) == 6
+
+
 def test_bundle_and_gate(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     doc = jobs.bundle(observed.watched(spark, d), observed.watched_snapshots(spark, d), observed.recorded_changes(spark, d), spark.createDataFrame([], "content_hash string, payload map<string,string>"), 5000)
