@@ -196,8 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     known = written(rows.mapInArrow(read, f"doc_id {kind}, spread long, quality int, toxic int, found array<int>"), "labelled")
     tasks = docs.sparkSession.createDataFrame([(h, k) for h in HEADS for k in range(-1, FOLDS)], "head string, left_out int")
-    got = {(r["head"], r["left_out"]): r for r in known.crossJoin(F.broadcast(tasks)).groupBy("head", "left_out").applyInArrow(learn, "head string, left_out int, weights binary, scores binary").toLocalIterator()}
-    label = {h: np.array([r[h] for r in known.where(F.col(h).isNotNull()).select("spread", "doc_id", h).orderBy("spread", "doc_id").toLocalIterator()]) for h in HEADS}
+    got = {(r["head"], r["left_out"]): r for r in known.crossJoin(F.broadcast(tasks)).groupBy("head", "left_out").applyInArrow(learn, "head string, left_out int, weights binary, scores binary").collect()}
+    label = {h: np.array([r[h] for r in known.where(F.col(h).isNotNull()).select("spread", "doc_id", h).orderBy("spread", "doc_id").collect()]) for h in HEADS}
     discard(known)
 
     def head(h: str) -> np.ndarray:
