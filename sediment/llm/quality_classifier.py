@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import release, releasing
 from .tables import discard, written
 from .text import hashes, mix, runs, strings, words_of
 
@@ -118,7 +119,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cos
 def _weights(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Weight of each feature, without a bias."""
     ratio = log_count_ratio(np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows]))), y)
-    values = [ratio[r] / max(1.0, len(r)) ** 0.5 for r in rows]
+    values = [(ratio[r] / max(1.0, len(r)) ** 0.5).astype(np.float32) for r in rows]
     share = (y > 0).mean()
     w, _ = descend(rows, values, y, COST * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)), 1 << BITS)
     return ratio * ((1 - BLEND) * np.abs(w[:-1]).mean() + BLEND * w[:-1])
@@ -132,16 +133,16 @@ def folds(y: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(flat: np.ndarray, begins: np.ndarray, labels: np.ndarray, left_out: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, left_out: int) -> tuple[np.ndarray, np.ndarray]:
     """The weight of each feature, fit without a part, or with all for -1; and the scores of that part, without a bias.
 
-    Labels are 1, 0, or negative for none.
+    ``rows`` are the features of each text; labels are 1, 0, or negative for none.
     """
     use = np.flatnonzero(labels >= 0)
     y = np.where(labels[use] > 0, 1.0, -1.0)
     if min((y > 0).sum(), (y < 0).sum()) == 0:
         return np.zeros(0), np.zeros(0)
-    rows = [flat[begins[i] : begins[i + 1]] for i in use]
+    rows = [rows[i] for i in use]
     fold = folds(y)
     rest = np.flatnonzero(fold != left_out)
     if abs(y[rest].sum()) == len(rest):  # a class has one row only
@@ -185,13 +186,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 flat, begins = features(strings(part.column("text")))
                 found = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.record_batch([*[part.column(c) for c in ("doc_id", "spread", *HEADS)], found], names=["doc_id", "spread", *HEADS, "found"])
+            release()
 
+    @releasing
     def learn(table: pa.Table) -> pa.Table:
         head, left_out = table.column("head")[0].as_py(), table.column("left_out")[0].as_py()
-        table = table.sort_by([("spread", "ascending"), ("doc_id", "ascending")])
+        order = pc.sort_indices(table.select(["spread", "doc_id"]), sort_keys=[("spread", "ascending"), ("doc_id", "ascending")]).to_numpy()
         found = table.column("found").combine_chunks()
-        begins = found.offsets.to_numpy().astype(np.int64)
-        w, scores = fit(found.values.to_numpy(), begins, pc.fill_null(table.column(head), -1).to_numpy(), left_out)
+        flat, at = found.values.to_numpy(), found.offsets.to_numpy()
+        w, scores = fit([flat[at[i] : at[i + 1]] for i in order], pc.fill_null(table.column(head), -1).to_numpy()[order], left_out)
         return pa.table({"head": [head], "left_out": pa.array([left_out], pa.int32()), "weights": pa.array([w.astype("<f4").tobytes() if left_out < 0 else b""], pa.binary()), "scores": pa.array([scores.astype("<f8").tobytes()], pa.binary())})
 
     known = written(rows.mapInArrow(read, f"doc_id {kind}, spread long, quality int, toxic int, found array<int>"), "labelled")
@@ -234,6 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             q, t = score_texts(strings(b.column(1)), (m.quality, m.toxic))
             keep = (q >= 0) & ((t < 0) | (not m.toxic.any()))
             yield pa.record_batch([b.column(0), pa.array(q), pa.array(t), pa.array(keep)], names=["doc_id", "quality_score", "toxic_score", "keep"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality_score double, toxic_score double, keep boolean")
 

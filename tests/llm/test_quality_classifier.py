@@ -92,7 +92,7 @@ def test_fit_equals_brute_force():
 
     labels = np.where(y > 0, 1, 0)
     for left_out in (-1, 1):
-        w, scores = Q.fit(flat, begins, labels, left_out)
+        w, scores = Q.fit([flat[begins[k] : begins[k + 1]] for k in range(len(y))], labels, left_out)
         fold = Q.folds(y)
         rows = np.flatnonzero(fold != left_out)
         want = plain_weights(rows)
