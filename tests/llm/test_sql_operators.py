@@ -139,6 +139,23 @@ def test_wrapped_licenses(spark):
     texts += [("Licensed under the\n\nMPL", None), ("You must not say that you are Licensed under the\nBSD License by us", None)]
     got = {r.doc_id: r.licenses for r in license_scan.scan(frame(spark, [(i, t, "s") for i, (t, _) in enumerate(texts)])).collect()}
     assert got == {i: x for i, (_, x) in enumerate(texts) if x}
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": [t for t, _ in texts]}))
+    assert dict(c.sql(f"SELECT doc_id, licenses FROM ({license_scan.scan_sql()})").fetchall()) == got
+
+
+def test_every_known_sentence_is_found_and_sql_agrees(spark):
+    said = [(name, w) for name, ws in license_scan.SENTENCES.items() for w in ws]
+    assert len(said) > 900 and len(license_scan.known()) == len(said)
+    texts = [f"Some words before it.\n{w}.\nAnd after it." for _, w in said] + [f"// {w}\n" for _, w in said[::7]] + [" ".join(w.split()[:-1]) + "\nx" for _, w in said[::9]]
+    texts += ["Version: 2.0", "2.0", "I like the MIT License that they chose", "SPDX-License-Identifier: MIT-like"]
+    d = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.sentences for r in license_scan.scan(d).collect()}
+    assert {i: got.get(i) for i in range(len(said))} == {i: name for i, (name, _) in enumerate(said)}
+    assert not {len(texts) - k for k in (1, 2, 3, 4)} & set(got)
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    same_as_sql(c, license_scan.scan(d), license_scan.scan_sql())
 
 
 def test_cut_wordings_need_all_parts(spark):
