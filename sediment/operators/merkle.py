@@ -74,25 +74,41 @@ def merkle_roots(leaves: DataFrame, group: str = "snapshot_id", chunk: int = CHU
             return nodes.select(group, F.col("leaf").alias("merkle_root"))
 
 
-def merkle_proofs(leaves: DataFrame, wanted: DataFrame, group: str = "snapshot_id") -> DataFrame:
+def _paths(group: str, chunk: int):
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        tree = levels([bytes.fromhex(x) for x in table.column("leaf").to_pylist()])
+        at, first = table.column("pos").to_pylist(), table.column("pos")[0].as_py()
+        pos, leaf, paths = [first >> chunk], [tree[-1][0].hex()], [None]
+        for k in [k for k, w in enumerate(table.column("wanted").to_pylist()) if w]:
+            pos.append(at[k])
+            leaf.append(None)
+            paths.append([{"side": "right" if i % 2 == 0 else "left", "hash": nodes[i ^ 1].hex()} for n, nodes in enumerate(tree) if (i := k >> n) ^ 1 < len(nodes)])
+        kind = pa.list_(pa.struct([("side", pa.string()), ("hash", pa.string())]))
+        return pa.table({group: pa.array([table.column(group)[0].as_py()] * len(pos), table.schema.field(group).type), "pos": pa.array(pos, pa.int64()), "leaf": pa.array(leaf, pa.string()), "path": pa.array(paths, kind)})
+
+    return fold
+
+
+def merkle_proofs(leaves: DataFrame, wanted: DataFrame, group: str = "snapshot_id", chunk: int = CHUNK) -> DataFrame:
     """Sibling paths of ``wanted`` (``group``, ``pos``): ``proof`` from the leaf up, and the ``merkle_root`` it leads to.
 
-    Level by level, each wanted node meets its sibling by a join; a promoted node has none.
+    The tree is folded chunk by chunk as for the roots, and a chunk with wanted nodes gives their paths through it; a
+    promoted node has no sibling.
     """
-    nodes = leaves.select(group, "pos", F.col("leaf").alias("node"))
+    kind = leaves.schema[group].dataType.simpleString()
+    nodes = leaves.select(group, "pos", "leaf")
     paths = wanted.select(group, F.col("pos").alias("leaf_index")).distinct().join(leaves.select(group, F.col("pos").alias("leaf_index"), "leaf"), [group, "leaf_index"])
     paths = paths.withColumn("at", F.col("leaf_index")).withColumn("proof", F.array().cast(PROOF))
     size = leaves.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0] + 1
     while size > 1:
-        sibling = nodes.select(group, F.col("pos").alias("sibling"), "node")
-        step = F.struct(F.when(F.col("sibling") > F.col("at"), "right").otherwise("left").alias("side"), F.col("node").alias("hash"))
-        paths = paths.withColumn("sibling", F.col("at").bitwiseXOR(F.lit(1))).join(sibling, [group, "sibling"], "left")
-        paths = paths.select(group, "leaf_index", "leaf", F.shiftright("at", 1).alias("at"), F.when(F.col("node").isNotNull(), F.concat("proof", F.array(step))).otherwise(F.col("proof")).alias("proof"))
-        by_side = lambda side: F.max(F.when(F.col("pos") % 2 == side, F.col("node")))
-        up = nodes.groupBy(group, F.shiftright("pos", 1).alias("up")).agg(by_side(0).alias("a"), by_side(1).alias("b"))
-        nodes = written(up.select(group, F.col("up").alias("pos"), F.when(F.col("b").isNull(), F.col("a")).otherwise(pair_hash(F.col("a"), F.col("b"))).alias("node")), "nodes")
-        size = -(-size // 2)
-    return paths.join(nodes.select(group, F.col("node").alias("merkle_root")), group).select(group, "leaf_index", "leaf", "proof", "merkle_root")
+        marked = nodes.join(paths.select(group, F.col("at").alias("pos"), F.lit(True).alias("wanted")).distinct(), [group, "pos"], "left")
+        folded = written(marked.groupBy(group, F.shiftright("pos", chunk).alias("chunk")).applyInArrow(_paths(group, chunk), f"{group} {kind}, pos long, leaf string, path {PROOF}"), "folded")
+        step = folded.where("path IS NOT NULL").select(group, F.col("pos").alias("at"), "path")
+        paths = paths.join(step, [group, "at"]).select(group, "leaf_index", "leaf", F.shiftright("at", chunk).alias("at"), F.concat("proof", "path").alias("proof"))
+        nodes = folded.where("path IS NULL").select(group, "pos", "leaf")
+        size = -(-size >> chunk)
+    return paths.join(nodes.select(group, F.col("leaf").alias("merkle_root")), group).select(group, "leaf_index", "leaf", "proof", "merkle_root")
 
 
 def proof_leads_to(leaf: Column, proof: Column, root: Column) -> Column:

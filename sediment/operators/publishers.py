@@ -26,6 +26,15 @@ def publisher_class(rows: DataFrame) -> DataFrame:
     return by.withColumn("pipeline_class", cls).withColumn("timestamps_informative", F.col("pipeline_class").isin(*INFORMATIVE))
 
 
+def publishing_rows(rows: DataFrame, source_key: str, date_field: str, stratum_end: str, cutoff: str, created: str = ":created_at", updated: str = ":updated_at") -> DataFrame:
+    """A published table's rows as ``publisher_class`` and ``assertions`` take them: which are in the closed past, and
+    which the platform says were created or written after ``cutoff``."""
+    before = lambda c, at: F.col(f"`{c}`") < F.lit(at).cast(rows.schema[c].dataType)
+    after = lambda c: F.coalesce(F.col(f"`{c}`") > F.lit(cutoff).cast(rows.schema[c].dataType), F.lit(False))
+    closed = F.coalesce(before(date_field, stratum_end), F.lit(False))
+    return rows.select(F.lit(source_key).alias("source_key"), closed.alias("in_frozen_past"), after(created).alias("created_recently"), after(updated).alias("updated_recently"), closed.alias("closed"), after(updated).alias("touched"), F.col(f"`{date_field}`").cast("string").alias("event_date"), F.col(f"`{updated}`").cast("string").alias("updated_at"))
+
+
 def distinct_recent_stamps(rows: DataFrame, stamp: str, limit: int = STAMPS) -> DataFrame:
     """Distinct instants among the rows written last; a reload stamps one instant on a whole table."""
     return rows.orderBy(F.desc_nulls_last(stamp)).limit(limit).agg(F.countDistinct(stamp).alias("distinct_stamps"))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import functools
 import json
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.records import canonical_json
 from ..operators import confirm, diff, discovery, publishers, report
 from ..operators.archive import Archive, pending_pairs, prune
 from ..sources.shared import written
@@ -141,7 +143,43 @@ def publisher_table(archive: Archive, rows: DataFrame) -> DataFrame:
     return publishers.set_class(archive.sources(), publishers.publisher_class(rows))
 
 
-def bundle(sources: DataFrame, snapshots: DataFrame, changes: DataFrame, blobs: DataFrame, probe: int | None = None, assertions: DataFrame | None = None) -> dict[str, Any]:
+def characterise(archive: Archive, read: Mapping[str, Callable[[], DataFrame]], cutoff: str) -> DataFrame:
+    """The sources with the class that their published tables show, all counts of a table in one pass over it."""
+    by = {r["source_key"]: r for r in archive.sources().where(F.col("source_key").isin(*read)).collect()}
+    parts = [publishers.publishing_rows(read[k](), k, by[k]["date_field"], by[k]["stratum_end"], cutoff) for k in sorted(by)]
+    return publisher_table(archive, functools.reduce(DataFrame.unionByName, parts)) if parts else archive.sources()
+
+
+class Assertions(NamedTuple):
+    sources: DataFrame
+    totals: DataFrame
+    ages: DataFrame
+    deepest: DataFrame
+
+
+def assertions(sources: DataFrame, rows: DataFrame, now: dt.datetime) -> Assertions:
+    """What sources whose timestamps mean something say of writes to their closed past."""
+    told = rows.join(sources.where(F.col("pipeline_class").isin(*publishers.INFORMATIVE)).select("source_key"), "source_key", "left_semi")
+    found = written(publishers.assertions(told), "assertions")
+    return Assertions(found.orderBy(F.desc("asserted_modified"), "source_key"), publishers.assertion_totals(found, sources), publishers.age_distribution(told.where("closed AND touched"), F.lit(now)), publishers.deepest_reach(found))
+
+
+def summary(document: Mapping[str, Any]) -> list[str]:
+    """The document's main figures, a line each."""
+    o, c = document["overview"], document["churn"]
+    lines = [f"{o['sources_watched']} sources in {o['city_count']} cities, {o['sweeps']} sweeps, {o['snapshots_ok']} observations, {o['snapshots_failed']} failed"]
+    if document.get("integrity"):
+        lines.append(f"{sum(bool(x['ok']) for x in document['integrity'])} of {len(document['integrity'])} chains hold")
+    share = next((x["share_uninterpretable"] for x in document["census"]), None)
+    if share is not None:
+        lines.append(f"{share:.0%} of the characterised sources write too much to be read")
+    lines.append(f"{c['material_changes']} material changes: {c['isolated_revisions']} revisions by themselves, {c['coordinated_revisions']} together, {c['deletions']} deletions; {c['discarded_as_mechanism']} were mechanism")
+    if document.get("assertions"):
+        lines.append(f"{document['assertions']['totals'][0]['asserted_modified']} records of closed periods written again, by the sources' own account")
+    return lines
+
+
+def bundle(sources: DataFrame, snapshots: DataFrame, changes: DataFrame, blobs: DataFrame, probe: int | None = None, assertions: Assertions | None = None) -> dict[str, Any]:
     """The evidence as one document. Every part is bounded: totals, one row a source, and at most ``report.LIMIT`` findings."""
     part = lambda df: [json.loads(x) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toPandas().iloc[:, 0]]
     return {
@@ -152,11 +190,18 @@ def bundle(sources: DataFrame, snapshots: DataFrame, changes: DataFrame, blobs:
         "churn": part(report.churn_summary(changes, probe))[0],
         "kinds": part(report.by_kind(changes)),
         "findings": part(report.findings(changes, sources, snapshots, blobs)),
-        "assertions": None if assertions is None else part(assertions),
+        "assertions": None if assertions is None else {k: part(v) for k, v in assertions._asdict().items()},
         "sources": part(report.sources_table(sources, snapshots)),
     }
 
 
+def verify(archive: Archive) -> DataFrame:
+    """Every check of an archive."""
+    snapshots = archive.table("snapshots")
+    text = canonical_json(F.map_from_entries(F.array_sort(F.map_entries("payload"))))
+    return report.verify(snapshots, archive.table("observations"), archive.table("blobs").select("content_hash", text.alias("payload_json")))
+
+
 def publish(checks: DataFrame, document: Mapping[str, Any], path: str) -> None:
     """Write the document, but only if every check of the archive passed."""
     bad = [r["check"] for r in checks.where("NOT ok").collect()]

@@ -528,6 +528,58 @@ def retro_age_buckets(spark, d):
     return publishers.age_distribution(_asserted(spark, d).where("closed AND touched"), F.lit(NOW))
 
 
+@query(f"""WITH {_PUBLISHED_SQL}, a AS (SELECT source_key, count(*) FILTER (past) AS c, count(*) FILTER (past AND updated) AS m FROM pub GROUP BY 1)
+SELECT count(*) AS sources, sum(m)::BIGINT AS asserted_modified, sum(c)::BIGINT AS closed_period_records FROM a WHERE m > 0 AND source_key IN ('p1', 'p2')""")
+def assertion_totals(spark, d):
+    sources = spark.createDataFrame([("p0", "republish"), ("p1", "incremental"), ("p2", "static"), ("p3", "static")], "source_key string, pipeline_class string")
+    return publishers.assertion_totals(publishers.assertions(_asserted(spark, d)), sources)
+
+
+@query(f"""WITH {_PUBLISHED_SQL} SELECT source_key, strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS oldest_event_touched FROM pub WHERE past AND updated GROUP BY 1 ORDER BY 2, 1 LIMIT 1""")
+def deepest_reach(spark, d):
+    return publishers.deepest_reach(publishers.assertions(_asserted(spark, d)), 1).select("source_key", "oldest_event_touched")
+
+
+@query("""SELECT source_key, row_uid, rank FROM (SELECT 'p' || (o_custkey % 4) AS source_key, o_orderkey::VARCHAR AS row_uid, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_totalprice DESC, o_orderkey::VARCHAR) AS rank FROM orders
+WHERE o_orderdate < '1998-01-01' AND ((o_custkey % 4 = 1 AND o_orderkey % 10 < 8) OR (o_custkey % 4 = 2 AND o_orderkey % 50 = 1))) WHERE rank <= 40""")
+def latest_touched(spark, d):
+    return publishers.latest_touched(_asserted(spark, d)).select("source_key", "row_uid", "rank")
+
+
+@query("SELECT 'p' || (o_custkey % 3) AS source_key, count(*) AS frozen_past_count, count(*) FILTER (o_totalprice > 200000) AS created_recent, count(*) FILTER (o_totalprice > 350000) AS updated_recent FROM orders WHERE o_orderdate < '1998-01-01' GROUP BY 1")
+def characterised_counts(spark, d):
+    rows = table(spark, d, "orders").select("o_orderdate", F.col("o_custkey"), F.date_add(F.lit("2000-01-01").cast("date"), F.when(F.col("o_totalprice") > 200000, 1).otherwise(-1)).alias(":created_at"), F.date_add(F.lit("2000-01-01").cast("date"), F.when(F.col("o_totalprice") > 350000, 1).otherwise(-1)).alias(":updated_at"))
+    parts = [publishers.publishing_rows(rows.where(F.col("o_custkey") % 3 == k), f"p{k}", "o_orderdate", "1998-01-01", "2000-01-01") for k in range(3)]
+    return publishers.publisher_class(functools.reduce(DataFrame.unionByName, parts)).select("source_key", "frozen_past_count", "created_recent", "updated_recent")
+
+
+@query("SELECT r_name AS city, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def accepted_by_city(spark, d):
+    return discovery.accepted_by_city(O.watched(spark, d))
+
+
+@query("""SELECT domain, dataset, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY weight DESC, dataset) AS rank FROM (SELECT 'd' || (p_partkey % 5) AS domain, p_partkey::VARCHAR AS dataset,
+CASE p_partkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 70 END AS weight FROM part WHERE p_partkey % 3 < 2)) WHERE rank <= 20""")
+def catalog_candidates(spark, d):
+    k = F.col("p_partkey")
+    title = F.when(k % 3 == 0, "Police stops").when(k % 3 == 1, "Lead in Water").otherwise("Trees")
+    catalog = table(spark, d, "part").select(F.concat(F.lit("d"), (k % 5).cast("string")).alias("domain"), k.cast("string").alias("dataset"), title.alias("title"), F.lit(None).cast("string").alias("category"), F.lit("").alias("description"))
+    return discovery.candidates(catalog, 20).select("domain", "dataset", "weight", "rank")
+
+
+@query("SELECT CASE o_orderkey % 3 WHEN 0 THEN 'confirmed_absent' WHEN 1 THEN 'still_present' ELSE 'unverifiable' END AS verdict, count(*) AS n FROM orders GROUP BY 1")
+def verdict_tally(spark, d):
+    k = F.col("o_orderkey") % 3
+    return C.verdict_tally(table(spark, d, "orders").select(F.when(k == 0, "confirmed_absent").when(k == 1, "still_present").otherwise("unverifiable").alias("verdict")))
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'name=' || n_name ELSE 'name=' || n_name || ',note=x' END AS record FROM nation")
+def sample_projection(spark, d):
+    k = F.col("n_nationkey")
+    record = F.create_map(F.lit(":id"), k.cast("string"), F.lit("blank"), F.lit(""), F.lit("name"), F.col("n_name"), F.lit("none"), F.lit(None).cast("string"), F.lit("note"), F.when(k % 2 == 1, "x"))
+    return table(spark, d, "nation").select(k.alias("k"), F.array_join(F.transform(F.map_entries(R.published(record)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("record"))
+
+
 @query("SELECT n_name AS title, greatest(CASE WHEN regexp_matches(lower(n_name), 'arrest|crime|police|stop') THEN 100 ELSE 0 END, CASE WHEN regexp_matches(lower(n_name), 'food|health|lead|restaurant|water|environment|air.quality') THEN 70 ELSE 0 END) AS weight FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'Police stops' WHEN n_nationkey % 3 = 1 THEN 'Lead in Water' ELSE n_name END AS n_name FROM nation WHERE n_nationkey % 3 < 2)")
 def civic_weights(spark, d):
     k = F.col("n_nationkey")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def stratum(rows: DataFrame, date_field: str, start: str, end: str) -> DataFrame:
     """Rows of a half-open window; none at all is an error of the caller's window, seen as an empty result."""
@@ -40,10 +44,8 @@ def metadata(rows: DataFrame) -> list[tuple[str, str]]:
 
 
 def json_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """A JSON file as rows, corrupt ones left out; none if there is no file."""
-    from pyspark.errors import AnalysisException
-
+    """A JSON file as rows; none if there is no file or it isn't JSON throughout."""
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
-    except AnalysisException:
+        return written(spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path), "json")
+    except (PySparkException, Py4JJavaError):
         return None

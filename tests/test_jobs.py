@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sediment.operators import archive as A
-from sediment.operators import discovery, report
+from sediment.operators import discovery, publishers, report
 from sediment.plans import jobs, observed
 from sediment.sources.tables import json_or_none, metadata
 
@@ -81,6 +81,7 @@ def test_bundle_and_gate(spark, tmp_path):
     jobs.publish(checks, doc, out)
     with open(out, encoding="utf-8") as f:
         got = json.load(f)
+    assert len(jobs.summary(got)) == 3 and "25 sources" in jobs.summary(got)[0]
     assert got["overview"]["sources_watched"] == 25 and 0 < len(got["findings"]) <= report.LIMIT and len(got["sources"]) == 25
     with pytest.raises(ValueError):
         jobs.publish(checks.withColumn("ok", F.lit(False)), doc, out)
@@ -97,8 +98,33 @@ def test_discovery(spark):
     assert dense and dense[2] <= 200
 
 
+def test_commands_and_assertions(spark, tmp_path, capsys):
+    from sediment.__main__ import main
+
+    path, out = str(tmp_path / "a"), str(tmp_path / "b.json")
+    arc = A.Archive(spark, path)
+    arc.append("sources", spark.createDataFrame([("s", "day", "2021-01-01", "t", "c")], "source_key string, date_field string, stratum_end string, title string, city string"))
+    day = lambda n: spark.createDataFrame([(f"A{i}", f"v{n if i == 3 else 0}", "2020-05-01", "2024-01-01", "2025-01-01" if i == 3 else "2020-06-01") for i in range(8)], "case string, type string, day string, `:created_at` string, `:updated_at` string")
+    for n in (1, 2):
+        jobs.sweep(arc, {"s": lambda n=n: day(n)}, {"s": ["case"]}, f"2024-01-0{n}", n)
+    assert main(["verify", path]) == 0 and main(["analyse", path]) == 0 and main(["bundle", path, "--to", out]) == 0
+    assert "1 changes are new" in capsys.readouterr().out
+    classes = {r.source_key: r.pipeline_class for r in jobs.characterise(arc, {"s": lambda: day(1)}, "2024-12-01").collect()}
+    assert classes == {"s": "incremental"}
+    sources = arc.sources().withColumn("pipeline_class", F.lit("incremental"))
+    told = jobs.assertions(sources, publishers.publishing_rows(day(1), "s", "day", "2021-01-01", "2024-12-01"), dt.datetime(2025, 3, 1))
+    assert (told.totals.first().asserted_modified, told.ages.first().age_bucket, told.deepest.first().oldest_event_touched) == (1, "4-7 years", "2020-05-01")
+    doc = jobs.bundle(sources, arc.table("snapshots"), arc.table("changes"), arc.table("blobs"), assertions=told)
+    assert doc["assertions"]["sources"][0]["asserted_modified"] == 1 and "1 records of closed periods" in jobs.summary(doc)[-1]
+    arc.append("snapshots", arc.table("snapshots").where("snapshot_id = 1").withColumn("snapshot_id", F.lit(9)).withColumn("merkle_root", F.lit("0")))
+    assert main(["verify", path]) == 1 and main(["bundle", path, "--to", out]) == 1
+    assert main(["reset", path]) == 0 and arc.table("changes").count() == 0
+
+
 def test_small_sources(spark, tmp_path):
     assert json_or_none(spark, str(tmp_path / "none.json"), "a int") is None
+    (tmp_path / "x.json").write_text('{"a": ')
+    assert json_or_none(spark, str(tmp_path / "x.json"), "a int") is None
     (tmp_path / "x.json").write_text('{"a": 1}')
     assert json_or_none(spark, str(tmp_path / "x.json"), "a int").first().a == 1
     assert metadata(spark.range(1)) == [("id", "bigint")]
