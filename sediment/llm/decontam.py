@@ -337,7 +337,7 @@ def report(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) ->
                     values[t] = _cut(values[t], chars)
                 text = pa.array(values, pa.string())
             keep = removed <= limits.drop * words
-            text = pa.compute.if_else(pa.array(keep), text.cast(pa.string()), pa.scalar(None, pa.string()))
+            text = text.cast(pa.string()).take(pa.array(np.arange(n), mask=~keep))
             yield pa.record_batch([b.column(0), text, pa.array(words, pa.int64()), pa.array(n_spans), pa.array(removed), pa.array(longest), pa.array(items, pa.list_(pa.int64())), pa.array(keep)], names=["doc_id", "text", "n_words", "n_spans", "n_removed", "longest", "items", "keep"])
 
     return docs.select("doc_id", "text").mapInArrow(look, schema)

@@ -115,3 +115,14 @@ def test_items_without_identifier(spark):
     d = docs(spark, [(1, "x " * 40 + "a b c d e f g y o p q r s t u", "en", "s", 3, "x", 1), (2, "x " * 40 + "h i j k l m n", "en", "s", 3, "x", 1)])
     got = {r.doc_id: (r.n_removed, r.items) for r in D.report(d, bench).collect()}
     assert got == {1: (14, [3]), 2: (7, [])} and {word_list(r.text)[-1] for r in D.remove_spans(d, bench).collect()} == {"x", "y"}
+
+
+def test_more_texts_in_a_batch_than_a_slice(spark):
+    from sediment.llm import decontam
+
+    item = " ".join(f"word{k}" for k in range(20))
+    docs = spark.createDataFrame([(i, f"text {i} of many {'x' * (i % 50)}" + (f" {item} end" if i % 7 == 0 else ""), 1) for i in range(1300)], "doc_id long, text string, n int").coalesce(1)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = {i: None if i % 7 == 0 else f"text {i} of many {'x' * (i % 50)}" for i in range(1300)}
+    assert {r.doc_id: r.text for r in decontam.report(docs, bench).collect()} == want
+    assert {r.doc_id: r.text for r in decontam.remove_spans(docs, bench).collect()} == {i: t for i, t in want.items() if t}
