@@ -24,6 +24,11 @@ n-grams have one collision between them, which would alter their similarity by a
    what is new in them is paired; this may add candidates, never take one away. Each later set's candidates are verified
    where its least partner is at home, so that the sets of a group of copies come together once; a home with many sets is
    cut into blocks.
+5. The pairs of n near copies are n * n / 2, so they aren't formed one by one. Sets that are mostly n-grams of more than
+   ``FREQUENT`` sets are gathered into crowds, of ``CROWD`` sets at most, around one that they are similar to. A crowd is
+   indexed as one, and candidates are pairs of crowds and single sets. Within a crowd, and between it and others, a bound
+   settles most pairs without a look at them and the others are counted in bits (see ``_verify_crowd``). Which sets make
+   up a crowd can't change a result.
 
 Memory in each task is bounded by the sizes of ranges and blocks, which don't depend on the corpus; only the numbers of
 ranges and blocks do. A side is broadcast only if it has at most ``BROADCAST_ROWS`` rows. ``docs`` is read again where a
@@ -64,6 +69,7 @@ FLUSH = 1_500_000  #: postings gathered before they are packed
 MANY = 16  #: sets under one key from which on lists are compared with groups before they are paired
 BATCH = 1000  #: texts, or sets, that go to Python at once
 BLOCK = 2048  #: sets of a home that are verified together
+CROWD = 4096  #: sets of one crowd at most, and about so many that are compared with a crowd at once
 
 _U = np.uint64
 _OFTEN = _U(1 << 63)  #: set in the numbers of n-grams of more than FREQUENT sets, so that they come after all others
@@ -213,6 +219,11 @@ def _ordered(threshold: float, ranges: int):
         upto = np.concatenate(([0], np.cumsum(np.where(good, shared, 0))))
         rare = np.concatenate(([0], np.cumsum(number < _OFTEN)))
         chosen = np.flatnonzero(good)
+        # sets that are mostly frequent n-grams can be near copies of many: they are gathered by the least hash of those
+        hashed = np.where(number < _OFTEN, ~_U(0), mix(number))
+        frequent = shared[chosen] - (rare[upto[chosen + 1]] - rare[upto[chosen]])
+        crowded = frequent >= np.maximum(1, np.ceil(threshold * size[chosen] - 1e-9))
+        bucket = np.minimum.reduceat(hashed, upto[chosen]) if len(chosen) else hashed[:0]
         return pa.table(
             {
                 "lot": pa.array(np.full(len(chosen), table.column("lot")[0].as_py(), np.int64)),
@@ -220,6 +231,7 @@ def _ordered(threshold: float, ranges: int):
                 "size": pa.array(size[chosen], pa.int32()),
                 "n_rare": pa.array((rare[upto[chosen + 1]] - rare[upto[chosen]]), pa.int32()),
                 "grams": pa.array([pack(np.diff(number[upto[k] : upto[k + 1]], prepend=_U(0))) for k in chosen.tolist()], pa.binary()),
+                "bucket": pa.array(bucket.view(np.int64), pa.int64(), mask=~crowded),
             }
         )
 
@@ -231,6 +243,41 @@ def _numbers(blob) -> np.ndarray:
     return np.cumsum(unpack(blob.as_buffer())[0], dtype=_U)
 
 
+def _coded(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The sets' names and sizes, their n-grams as places in what all have, where each begins, and how many those are."""
+    grams = [_numbers(x) for x in table.column("grams").combine_chunks()]
+    ends = np.cumsum([0, *[len(g) for g in grams]])
+    vocabulary, coded = np.unique(_concat(grams, _U), return_inverse=True)
+    return table.column("set").to_numpy(), table.column("size").to_numpy().astype(np.int64), coded.astype(np.int32), ends, len(vocabulary)
+
+
+def _crowds(threshold: float):
+    """Sets of one bucket -> crowds of at least ``MANY`` that are similar to one of them; the others get no row."""
+
+    @releasing
+    def run(table: pa.Table) -> pa.Table:
+        ids, size, coded, ends, words = _coded(table.sort_by("set"))
+        owner = np.repeat(np.arange(len(ids)), np.diff(ends))
+        crowd, alive, chosen = ids.copy(), np.ones(len(ids), bool), np.zeros(len(ids), bool)
+        for _ in range(MANY):
+            if alive.sum() < MANY:
+                break
+            often = np.bincount(coded[alive[owner]], minlength=words)
+            pivot = int(np.argmax(np.where(alive, np.add.reduceat(often[coded], ends[:-1]) / size, -1)))
+            has = np.zeros(words, np.int32)
+            has[coded[ends[pivot] : ends[pivot + 1]]] = 1
+            both = np.add.reduceat(has[coded], ends[:-1])
+            near = alive & (both / (size + size[pivot] - both) >= threshold)
+            near[pivot] = True
+            if near.sum() >= MANY:
+                crowd[near] = ids[near].min()
+                chosen |= near
+            alive &= ~near
+        return pa.table({"set": pa.array(ids[chosen]), "crowd": pa.array(crowd[chosen])})
+
+    return run
+
+
 # -- 3: index keys of prefixes --------------------------------------------------------------------------------------
 
 
@@ -279,41 +326,42 @@ def prefix_keys(grams: np.ndarray, size: int, n_rare: int, threshold: float) ->
 
 
 def _keys(threshold: float, ranges: int):
-    """Sets -> packed index keys by range of the key."""
+    """Sets -> packed index keys by range of the key, under the names of their crowds."""
     shift = _U(64 - (ranges - 1).bit_length())
 
-    def flush(keys, rests, counts, sets, sizes):
+    def flush(keys, rests, counts, names, crowds, sizes):
         key, rest = _concat(keys, _U), _concat(rests, np.uint32)
-        owner = np.repeat(np.arange(len(sets)), counts)
+        owner = np.repeat(np.arange(len(names)), counts)
         order = np.argsort(key, kind="stable")
         key, rest, owner = key[order], rest[order], owner[order]
-        ids, size = np.array(sets, np.int64).view(_U), np.array(sizes, np.uint32)
+        ids, size, crowded = np.array(names, np.int64).view(_U), np.array(sizes, np.uint32), np.array(crowds, np.uint8)
         ends = np.searchsorted(key >> shift if ranges > 1 else np.zeros(len(key), _U), np.arange(ranges + 1, dtype=_U))
         numbers, blobs = [], []
         for r in np.flatnonzero(np.diff(ends)).tolist():
             s = slice(ends[r], ends[r + 1])
             present, local = np.unique(owner[s], return_inverse=True)
             numbers.append(r)
-            blobs.append(pack(ids[present], size[present], np.diff(key[s], prepend=_U(0)), local.astype(np.uint32), rest[s]))
+            blobs.append(pack(ids[present], size[present], crowded[present], np.diff(key[s], prepend=_U(0)), local.astype(np.uint32), rest[s]))
         return pa.record_batch([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=["range", "blob"])
 
     def run(batches):
-        keys, rests, counts, sets, sizes, total = [], [], [], [], [], 0
+        keys, rests, counts, names, crowds, sizes, total = [], [], [], [], [], [], 0
         for b in batches:
-            for s, size, rare, blob in zip(b.column("set").to_pylist(), b.column("size").to_pylist(), b.column("n_rare").to_pylist(), b.column("grams"), strict=True):
+            for name, crowded, size, rare, blob in zip(*[b.column(c).to_pylist() for c in ("name", "crowded", "size", "n_rare")], b.column("grams"), strict=True):
                 k, r = prefix_keys(_numbers(blob), size, rare, threshold)
                 if len(k):
                     keys.append(k)
                     rests.append(r)
                     counts.append(len(k))
-                    sets.append(s)
+                    names.append(name)
+                    crowds.append(crowded)
                     sizes.append(size)
                     total += len(k)
             if total >= FLUSH:
-                yield flush(keys, rests, counts, sets, sizes)
-                keys, rests, counts, sets, sizes, total = [], [], [], [], [], 0
+                yield flush(keys, rests, counts, names, crowds, sizes)
+                keys, rests, counts, names, crowds, sizes, total = [], [], [], [], [], [], 0
         if total:
-            yield flush(keys, rests, counts, sets, sizes)
+            yield flush(keys, rests, counts, names, crowds, sizes)
 
     return run
 
@@ -384,27 +432,34 @@ def _pairs_of_lists(lists: Iterator[np.ndarray], n: int) -> Iterator[tuple[np.nd
 
 
 def _candidates(threshold: float):
-    """The index keys of one range -> distinct pairs of sets that the bounds let through."""
+    """The index keys of one range -> distinct pairs of sets, or crowds, that the bounds let through."""
 
     @releasing
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_buffer()) for x in table.column("blob").combine_chunks()]
         # by the signed value, as the rest of the plan compares sets
         sets, first, where = np.unique(_concat([p[0] for p in parts], _U).view(np.int64), return_index=True, return_inverse=True)
-        size = _concat([p[1] for p in parts], np.int64)[first]
+        crowded = _concat([p[2] for p in parts], bool)[first]
         starts = np.cumsum([0, *[len(p[0]) for p in parts]])
-        key = _concat([np.cumsum(p[2], dtype=_U) for p in parts], _U)
-        owner = _concat([where[starts[k] : starts[k + 1]][p[3]] for k, p in enumerate(parts)], np.int64)
-        rest = _concat([p[4] for p in parts], np.int64)
+        key = _concat([np.cumsum(p[3], dtype=_U) for p in parts], _U)
+        owner = _concat([where[starts[k] : starts[k + 1]][p[4]] for k, p in enumerate(parts)], np.int64)
+        size = _concat([p[1][p[4]] for p in parts], np.int64)
+        rest = _concat([p[5] for p in parts], np.int64)
         del parts
         order = np.lexsort((owner, key))
-        key, owner, rest = key[order], owner[order], rest[order]
-        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key, owner, rest, size = key[order], owner[order], rest[order], size[order]
+        # a crowd stands under a key once, with its least and its largest set there
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))) if len(key) else np.zeros(0, np.int64)
+        low, high, rest = (f.reduceat(x, new) if len(new) else x for f, x in ((np.minimum, size), (np.maximum, size), (np.maximum, rest)))
+        key, owner = key[new], owner[new]
+        least, largest = np.full(len(sets), np.iinfo(np.int64).max), np.zeros(len(sets), np.int64)
+        np.minimum.at(least, owner, low)
+        np.maximum.at(largest, owner, high)
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         lengths = np.diff(np.append(begins, len(key)))
         # two sets of sizes x <= y share at least share * (x + y) n-grams, so 2 * share * x of the smaller one must remain
         share = threshold / (1 + threshold)
-        own = size[owner].astype(np.float64)
-        part = share * own
+        part = share * low
         some = np.logical_or.reduceat(rest >= 2 * part - 1e-9, begins) if len(key) else np.zeros(0, bool)
         begins, lengths = begins[some], lengths[some]
         found, waiting, room = [], 0, 1_500_000
@@ -421,17 +476,16 @@ def _candidates(threshold: float):
 
         short = lengths < MANY
         for i, j in _runs_to_pairs(begins[short], lengths[short]):
-            x, y = own[i], own[j]
-            ok = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (np.minimum(rest[i], rest[j]) >= part[i] + part[j] - 1e-9) & (owner[i] != owner[j])
+            ok = (high[i] >= threshold * low[j] - 1e-9) & (high[j] >= threshold * low[i] - 1e-9) & (np.minimum(rest[i], rest[j]) >= part[i] + part[j] - 1e-9)
             keep(owner[i[ok]], owner[j[ok]])
         order = np.argsort(-lengths[~short], kind="stable")
         lists = (np.unique(owner[b : b + n]) for b, n in zip(begins[~short][order].tolist(), lengths[~short][order].tolist(), strict=True))
         for a, b in _pairs_of_lists(lists, len(sets)):
-            x, y = size[a], size[b]
-            ok = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9
+            ok = (largest[a] >= threshold * least[b] - 1e-9) & (largest[b] >= threshold * least[a] - 1e-9)
             keep(a[ok], b[ok])
         done = np.unique(np.concatenate([done, *found])) if found else done
-        return pa.table({"a": pa.array(sets[done >> 32]), "b": pa.array(sets[done & 0xFFFFFFFF])})
+        a, b = done >> 32, done & 0xFFFFFFFF
+        return pa.table({"a": pa.array(sets[a]), "b": pa.array(sets[b]), "crowded": pa.array(crowded[a] | crowded[b])})
 
     return run
 
@@ -439,21 +493,29 @@ def _candidates(threshold: float):
 # -- 4: verification ------------------------------------------------------------------------------------------------
 
 
+_VERIFIED = "a long, b long, jaccard double, links long"  #: a pair, or, without ``b``, a set and its links
+
+
+def _found(a, b, jaccard, ids: np.ndarray, links: np.ndarray) -> pa.Table:
+    a, b, jaccard = _concat(a, np.int64), _concat(b, np.int64), _concat(jaccard, np.float64)
+    of = np.flatnonzero(links)
+    parts = [
+        {"a": np.minimum(a, b), "b": pa.array(np.maximum(a, b)), "jaccard": pa.array(jaccard), "links": pa.nulls(len(a), pa.int64())},
+        {"a": ids[of], "b": pa.nulls(len(of), pa.int64()), "jaccard": pa.nulls(len(of), pa.float64()), "links": pa.array(links[of])},
+    ]
+    return pa.concat_tables([pa.table(p) for p in parts])
+
+
 def _verify(threshold: float):
-    """The sets and the pairs of one block -> the pairs that reach the threshold."""
+    """The sets and the pairs of one block -> the pairs that reach the threshold, and the sets' links by them."""
 
     @releasing
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("set")
-        ids = table.column("set").to_numpy()
-        size = table.column("size").to_numpy()
-        grams = [_numbers(x) for x in table.column("grams").combine_chunks()]
+        ids, size, coded, ends, words = _coded(table)
+        copies = table.column("copies").to_numpy()
         partners = table.column("partners").combine_chunks()
-        ends = np.cumsum([0, *[len(g) for g in grams]])
-        vocabulary, coded = np.unique(_concat(grams, _U), return_inverse=True)
-        coded = coded.astype(np.int32)
-        del grams
-        has = np.zeros(len(vocabulary), bool)
+        has, links = np.zeros(words, bool), np.zeros(len(ids), np.int64)
         offsets, flat = partners.offsets.to_numpy(), partners.flatten().to_numpy(zero_copy_only=False)
         offsets = offsets - offsets[:1]
         a_out, b_out, j_out = [], [], []
@@ -465,10 +527,110 @@ def _verify(threshold: float):
             has[mine] = False
             jaccard = both / (size[k] + size[others] - both)
             ok = jaccard >= threshold - 1e-12
-            a_out.append(ids[others[ok]])
-            b_out.append(np.full(int(ok.sum()), ids[k], np.int64))
+            others = others[ok]
+            a_out.append(ids[others])
+            b_out.append(np.full(len(others), ids[k], np.int64))
             j_out.append(jaccard[ok])
-        return pa.table({"a": pa.array(_concat(a_out, np.int64)), "b": pa.array(_concat(b_out, np.int64)), "jaccard": pa.array(_concat(j_out, np.float64))})
+            links[k] += copies[others].sum()
+            links[others] += copies[k]
+        return _found(a_out, b_out, j_out, ids, links)
+
+    return run
+
+
+def _bits(coded: np.ndarray, ends: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Which of the ``n`` n-grams that have a place each set holds, in words of 64 bits."""
+    width = max(1, -(-n // 64))
+    out = np.zeros((len(ends) - 1, width), _U)
+    step = max(1, 16_000_000 // (64 * width))
+    for a in range(0, len(out), step):
+        b = min(a + step, len(out))
+        at = place[coded[ends[a] : ends[b]]]
+        row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+        part = np.zeros((b - a, 64 * width), bool)
+        part[row[at >= 0], at[at >= 0]] = True
+        out[a:b] = np.packbits(part, axis=1).view(_U)
+    return out
+
+
+def _verify_crowd(threshold: float, every: bool):
+    """A crowd and sets to compare it with, or none but its own -> as ``_verify``; without ``every``, as many pairs as connect the same sets.
+
+    Let P be the n-grams that most of the crowd have. Two sets without x and y of them share at least ``len(P) - x - y``
+    n-grams, which settles most pairs without a look at them: sets are sorted by how much of that bound they use up. Of
+    the others, what they share of P is counted in bits, and what else they share only where it can matter.
+    """
+    share = threshold / (1 + threshold)
+
+    @releasing
+    def run(table: pa.Table) -> pa.Table:
+        ids, size, coded, ends, words = _coded(table)
+        copies = table.column("copies").to_numpy()
+        guest = table.column("guest").to_numpy(zero_copy_only=False).astype(bool)
+        own = not guest.any()
+        home = np.flatnonzero(~guest)
+        others = home if own else np.flatnonzero(guest)
+        owner = np.repeat(np.arange(len(ids)), np.diff(ends))
+        usual = 2 * np.bincount(coded[~guest[owner]], minlength=words) > len(home)
+        n = int(usual.sum())
+        place = np.where(usual, np.cumsum(usual) - 1, -1)
+        bits = _bits(coded, ends, place, n)
+        # whole numbers, so that a pair is settled from both its sides or from none
+        room, used = 1024 * n, np.ceil(1024 * (share * size + n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))).astype(np.int64)
+        # besides P, only what several sets have can be shared
+        extra = ~usual[coded] & (np.bincount(coded, minlength=words) > 1)[coded]
+        rest, begin = coded[extra], np.concatenate(([0], np.cumsum(np.bincount(owner[extra], minlength=len(ids)))))
+        count = np.diff(begin)
+        has, links = np.zeros(words, bool), np.zeros(len(ids), np.int64)
+        others = others[np.argsort(used[others], kind="stable")]
+        home = home[np.argsort(used[home], kind="stable")]
+        sure = np.zeros(len(home), np.int64) if every else np.searchsorted(used[others], room - used[home], "right")
+        weight = np.concatenate(([0], np.cumsum(copies[others])))
+        links[home] += weight[sure]
+        label, a_out, b_out, j_out = np.arange(len(ids)), [], [], []
+
+        def join(a: int, b: int) -> None:
+            if label[a] != label[b]:
+                a_out.append(ids[[a]])
+                b_out.append(ids[[b]])
+                j_out.append(np.full(1, np.nan))
+                label[label == label[a]] = label[b]
+
+        if own:
+            links[home] -= np.where(sure > np.arange(len(home)), copies[home], 0)  # not with itself
+        elif not every:
+            back = np.searchsorted(used[home], room - used[others], "right")
+            links[others] += np.concatenate(([0], np.cumsum(copies[home])))[back]
+            for g in others[back > 0].tolist():
+                join(g, int(home[0]))
+        for h in home[sure > 0].tolist():
+            join(h, int(others[0]))
+        for k, (h, s) in enumerate(zip(home.tolist(), sure.tolist(), strict=True)):
+            # of the crowd's own pairs, each is looked at once
+            of = others[max(s, k + 1) if own else s :]
+            both = np.bitwise_count(bits[of] & bits[h]).sum(axis=1, dtype=np.int64)
+            need = share * (size[of] + size[h]) - 1e-6
+            open_ = np.flatnonzero((both + np.minimum(count[of], count[h]) >= need) & ((both < need + 2e-6) | every))
+            if len(open_) and count[h]:
+                at = of[open_]
+                has[rest[begin[h] : begin[h + 1]]] = True
+                upto = np.concatenate(([0], np.cumsum(count[at])))
+                held = has[rest[np.repeat(begin[at] - upto[:-1], count[at]) + np.arange(upto[-1])]]
+                both[open_] += np.diff(np.concatenate(([0], np.cumsum(held)))[upto])
+                has[rest[begin[h] : begin[h + 1]]] = False
+            jaccard = both / (size[h] + size[of] - both)
+            ok = jaccard >= threshold - 1e-12
+            of, jaccard = of[ok], jaccard[ok]
+            links[h] += copies[of].sum()
+            links[of] += copies[h]
+            if every:
+                a_out.append(ids[of])
+                b_out.append(np.full(len(of), ids[h], np.int64))
+                j_out.append(jaccard)
+            elif len(of):
+                for g in of[np.unique(label[of], return_index=True)[1]].tolist():
+                    join(g, h)
+        return _found(a_out, b_out, j_out, ids, links)
 
     return run
 
@@ -487,8 +649,13 @@ def _set_of(text: Column) -> Column:
     return F.when(text.rlike(r"[\p{L}\p{M}\p{N}]"), F.xxhash64(text))
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of different texts, by their hashes ``a < b``, with their ``jaccard``; written to the shared folder."""
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, every: bool = True, copies: DataFrame | None = None) -> DataFrame:
+    """Pairs of different texts, by their hashes ``a < b``, with their ``jaccard``; written to the shared folder.
+
+    Without ``every``, crowds give as many pairs as connect the same sets, some without a ``jaccard``, and rows without
+    ``b`` hold parts of a set's ``links``: the number of similar sets, each as often as ``copies`` (``set``, ``copies``) says,
+    or once.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
     spark = docs.sparkSession
@@ -499,17 +666,26 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     posted = texts.mapInArrow(_postings(n, ranges), "range long, lot long, blob binary")
     shared = posted.groupBy("range").applyInArrow(_shared(ranges), "lot long, range long, blob binary")
     with arrow_batches(spark, BATCH):
-        lots = written(shared.groupBy("lot").applyInArrow(_ordered(threshold, ranges), "lot long, set long, size int, n_rare int, grams binary"), "ngram-sets")
+        lots = written(shared.groupBy("lot").applyInArrow(_ordered(threshold, ranges), "lot long, set long, size int, n_rare int, grams binary, bucket long"), "ngram-sets")
     # equal texts of several lots: the row of the first stays
     several = written(lots.groupBy("set").agg(F.min("lot").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set", "first"), "ngram-several")
-    sets = lots.join(_few(several), "set", "left").where("first IS NULL OR first = lot").select("set", "size", "n_rare", "grams")
+    sets = lots.join(_few(several), "set", "left").where("first IS NULL OR first = lot").select("set", "size", "n_rare", "grams", "bucket")
 
-    keys = sets.mapInArrow(_keys(threshold, max(1, ranges // 4)), "range long, blob binary")
-    found = keys.groupBy("range").applyInArrow(_candidates(threshold), "a long, b long")
-    lists = found.groupBy("b").agg(F.collect_set("a").alias("partners")).select("b", "partners", F.array_min("partners").alias("home"))
+    buckets = written(sets.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY), "ngram-buckets")
+    lot = F.pmod(F.xxhash64("set"), F.ceil(F.col("n") / CROWD)).alias("part")
+    crowds = sets.join(_few(buckets), "bucket").select("set", "size", "grams", "bucket", lot).groupBy("bucket", "part").applyInArrow(_crowds(threshold), "set long, crowd long")
     with arrow_batches(spark, BATCH):
-        candidates = lists = written(lists, "ngram-candidates")
+        crowds = written(crowds, "ngram-crowds")
+    sets = sets.join(_few(crowds), "set", "left").withColumn("crowded", F.col("crowd").isNotNull()).withColumn("name", F.coalesce("crowd", "set"))
 
+    keys = sets.select("name", "crowded", "size", "n_rare", "grams").mapInArrow(_keys(threshold, max(1, ranges // 4)), "range long, blob binary")
+    found = keys.groupBy("range").applyInArrow(_candidates(threshold), "a long, b long, crowded boolean")
+    with arrow_batches(spark, BATCH):
+        candidates = written(found.groupBy("b", "crowded").agg(F.collect_set("a").alias("partners")), "ngram-candidates")
+    weighed = sets.join(_few(copies), "set", "left") if copies is not None else sets.withColumn("copies", F.lit(1))
+    weighed = weighed.select("name", "set", "size", "grams", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+
+    lists = candidates.where("NOT crowded").select("b", "partners", F.array_min("partners").alias("home"))
     members = lists.select("home", F.explode(F.concat("partners", F.array("b"))).alias("set")).distinct()
     blocks = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     lists = lists.join(blocks, "home")
@@ -520,9 +696,24 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     later = whole.unionByName(cut)
     earlier = later.select("home", "x", "y", F.explode("partners").alias("set")).distinct().withColumn("partners", F.array().cast("array<bigint>"))
     wanted = later.unionByName(earlier).groupBy("home", "x", "y", "set").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    verified = wanted.join(sets.select("set", "size", "grams"), "set").groupBy("home", "x", "y").applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    pairs = written(verified, "ngram-pairs")
-    discard(lots, several, candidates)
+    verified = wanted.join(weighed.drop("name"), "set").groupBy("home", "x", "y").applyInArrow(_verify(threshold), _VERIFIED)
+
+    sizes = written(crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")), "ngram-crowd-sizes")
+    if sizes.limit(1).count():
+        # of two, the larger is at home; the others come to it in lots of about CROWD sets
+        near = candidates.where("crowded").select("b", F.explode("partners").alias("a"))
+        for c in ("a", "b"):
+            near = near.join(_few(sizes.select(F.col("crowd").alias(c), F.col("n").alias(f"n_{c}"))), c, "left").fillna(1, [f"n_{c}"])
+        larger = F.col("n_a") >= F.col("n_b")
+        near = near.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("name"), F.least("n_a", "n_b").alias("n"))
+        parts = near.groupBy("home").agg(F.ceil(F.sum("n") / CROWD).alias("parts"))
+        guests = near.join(parts, "home").select("home", F.pmod(F.xxhash64("name"), "parts").alias("part"), "name", F.lit(True).alias("guest"))
+        hosts = guests.select("home", "part").distinct().unionByName(sizes.select(F.col("crowd").alias("home"), F.lit(-1).cast("long").alias("part")))
+        blocks = guests.unionByName(hosts.select("home", "part", F.col("home").alias("name"), F.lit(False).alias("guest")))
+        verified = verified.unionByName(weighed.join(blocks, "name").groupBy("home", "part").applyInArrow(_verify_crowd(threshold, every), _VERIFIED))
+    with arrow_batches(spark, BATCH):
+        pairs = written(verified.where("b IS NOT NULL") if every else verified, "ngram-pairs")
+    discard(lots, several, buckets, crowds, sizes, candidates)
     return pairs
 
 
@@ -562,8 +753,8 @@ def connected(pairs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group of documents that similar pairs connect."""
     at = {c.lower(): c for c in docs.columns}
-    pairs = similar_sets(docs, n, threshold)
-    groups = connected(pairs)
+    pairs = similar_sets(docs, n, threshold, every=False)
+    groups = connected(pairs.where("b IS NOT NULL"))
     # in a struct, the names of the input's columns are out of the way
     every = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[at["doc_id"]].alias("doc"), _set_of(docs[at["text"]]).alias("set"))
     rows = every.where("set IS NOT NULL").groupBy("doc", "set").agg(F.count(F.lit(1)).alias("n")).join(groups, "set", "left").select("doc", "set", "n", F.coalesce("group", "set").alias("group"))

@@ -166,3 +166,40 @@ def test_lists_give_all_their_pairs(seed):
     got = [(min(x, y), max(x, y)) for a, b in J._pairs_of_lists(iter(lists), 64) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     assert all(x != y for x, y in got)
     assert set(got) >= {p for m in lists for p in itertools.combinations(m.tolist(), 2)}
+
+
+def near_copies(seed, n, words=60):
+    """Near copies of two texts, of which few have equal sets, among others."""
+    r = random.Random(seed)
+    bases = [[f"{b}{i}" for i in range(words)] for b in "xy"]
+    out = []
+    for i in range(n):
+        w = list(r.choice(bases)) if r.random() < 0.9 else [f"o{r.randrange(40)}" for _ in range(20)]
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(len(w))] = f"z{r.randrange(9)}"
+        out.append(" ".join(w))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("seed,crowd", [(1, 4096), (2, 20)])
+def test_crowds_of_near_copies_equal_brute_force(spark, monkeypatch, seed, crowd):
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(J)
+    try:
+        monkeypatch.setattr(J, "FREQUENT", 12)
+        monkeypatch.setattr(J, "CROWD", crowd)
+        rows = near_copies(seed, 160)
+        pairs = brute(rows, 3, 0.5)
+        d = frame(spark, rows)
+        assert {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in J.similar_pairs(d).collect()} == pairs
+        # the pairs that only connect are far fewer, and connect the same
+        few = J.similar_sets(d, every=False).where("b IS NOT NULL").count()
+        assert few < len(pairs) / 2
+        root = {i: i for i, _ in rows}
+        for a, b in sorted(pairs):
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        assert sorted(r.doc_id for r in J.one_of_each(d).collect()) == sorted(set(root.values()))
+    finally:
+        cloudpickle.unregister_pickle_by_value(J)
