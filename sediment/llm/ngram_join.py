@@ -38,7 +38,9 @@ Defined results:
 
 * words are compared in lower case and without punctuation (see ``text``); a text of fewer than n words has one gram, all
   of them; null, empty and blank texts, and those without a word, have no grams and are in no pair, not even of copies;
-* a pair is given once, lesser ``doc_id`` first; equal texts have similarity 1; rows that repeat a ``doc_id`` add no pair
+* ``classes`` has a row for each row of ``docs``, also where ``doc_id`` is null or repeated; ``class_id`` is the least text
+  hash of the class and null for texts without a word, which have no links; equal texts are links of one another;
+* in ``similar_pairs`` a pair is given once, lesser ``doc_id`` first; equal texts have similarity 1; rows that repeat a ``doc_id`` add no pair
   of it with itself; rows with a null ``doc_id`` are in no pair;
 * in ``one_of_each`` one row of each group that pairs connect stays, the one with the least ``doc_id`` (nulls last), then
   the least text hash; of rows that repeat both, the one whose other columns come first as JSON; documents without grams
@@ -750,6 +752,20 @@ def connected(pairs: DataFrame) -> DataFrame:
             return now
 
 
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Each row's ``doc_id``, ``class_id`` and ``links``: a class is what similar pairs connect, links are the other rows similar to it."""
+    named = docs.select("doc_id", _set_of(F.col("text")).alias("set"))
+    count = F.count(F.lit(1)).alias("copies")
+    copies = written(named.where("set IS NOT NULL").groupBy("set").agg(count).where("copies > 1"), "ngram-copies")
+    found = similar_sets(docs, n, threshold, every=False, copies=copies)
+    groups = connected(found.where("b IS NOT NULL"))
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("others"))
+    # a set with links has a group
+    of = written(groups.join(links, "set").join(copies, "set", "full").select("set", F.coalesce("group", "set").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links")), "ngram-classes")
+    discard(found, groups, copies)
+    return named.join(_few(of), "set", "left").select("doc_id", F.coalesce("class_id", "set").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group of documents that similar pairs connect."""
     at = {c.lower(): c for c in docs.columns}

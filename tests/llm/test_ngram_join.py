@@ -203,3 +203,36 @@ def test_crowds_of_near_copies_equal_brute_force(spark, monkeypatch, seed, crowd
         assert sorted(r.doc_id for r in J.one_of_each(d).collect()) == sorted(set(root.values()))
     finally:
         cloudpickle.unregister_pickle_by_value(J)
+
+
+def test_classes_hold_every_link(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(J)
+    try:
+        monkeypatch.setattr(J, "FREQUENT", 12)
+        monkeypatch.setattr(J, "CROWD", 50)
+        rows = near_copies(3, 130)
+        rows += [(200 + k, rows[k][1]) for k in range(0, 60, 2)] + [(200, "a text of its own"), (None, rows[0][1]), (301, None), (302, " . ")]
+        sets = [grams(t, 3) for _, t in rows]
+        links, root = [0] * len(rows), list(range(len(rows)))
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5:
+                links[i] += 1
+                links[j] += 1
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+        got = J.classes(frame(spark, rows)).collect()
+        assert Counter((r.doc_id, r.links) for r in got) == Counter((d, n) for (d, _), n in zip(rows, links, strict=True))
+        members = lambda pairs: Counter(tuple(sorted(m, key=str)) for m in pairs.values())
+        want, have = {}, {}
+        for (d, _), c, s in zip(rows, root, sets, strict=True):
+            if s:
+                want.setdefault(c, []).append(d)
+        for r in got:
+            if r.class_id is not None:
+                have.setdefault(r.class_id, []).append(r.doc_id)
+        assert members(have) == members(want)
+        assert {r.doc_id for r in got if r.class_id is None} == {301, 302}
+        assert J.classes(frame(spark, rows).limit(0)).count() == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(J)
