@@ -87,11 +87,16 @@ def _order(x: np.ndarray) -> np.ndarray:
         return np.arange(len(x))
     width = _U((len(x) - 1).bit_length())
     same = 64 - int(x.min() ^ x.max()).bit_length()
-    key = (x << _U(same) if same < 64 else x) >> width << width | np.arange(len(x), dtype=_U)
+    # in place and by slices, as this is where a range's task needs most memory
+    key = x << _U(same) if same < 64 else x.copy()
+    key >>= width
+    key <<= width
+    key |= np.arange(len(x), dtype=_U)
     key.sort()
-    order = (key & ((_U(1) << width) - _U(1))).astype(np.int64)
-    sorted_ = x[order]
-    if len(wrong := np.flatnonzero(sorted_[1:] < sorted_[:-1])):  # different numbers with the same high bits
+    order = (key & ((_U(1) << width) - _U(1))).view(np.int64)
+    step = 1 << 20
+    wrong = np.concatenate([a + np.flatnonzero((y := x[order[a : a + step + 1]])[1:] < y[:-1]) for a in range(0, len(x) - 1, step)])
+    if len(wrong):  # different numbers with the same high bits
         key >>= width
         for a, b in zip(np.unique(np.searchsorted(key, key[wrong])).tolist(), np.unique(np.searchsorted(key, key[wrong], "right")).tolist(), strict=True):
             order[a:b] = order[a:b][np.argsort(x[order[a:b]], kind="stable")]
@@ -161,20 +166,27 @@ def _shared(ranges: int):
         number = table.column("range")[0].as_py()
         if number >= ranges:  # names and sizes pass through
             return pa.table({"lot": table.column("lot"), "range": pa.array([-1] * table.num_rows, pa.int64()), "blob": table.column("blob")})
-        blobs = table.column("blob").combine_chunks()
-        parts = []
-        grams = []
-        for x in blobs:
+        parts, steps = [], []
+        for x in table.column("blob"):
             step, local = unpack(x.as_buffer())
-            grams.append(np.cumsum(step, dtype=_U))
+            steps.append(step)
             parts.append(local)
-        gram = _concat(grams, _U)
-        del grams, step
+        gram, at = np.empty(sum(map(len, parts)), _U), 0
+        while steps:
+            step = steps.pop(0)
+            np.cumsum(step, dtype=_U, out=gram[at : at + len(step)])
+            at += len(step)
+        del step
         order = _order(gram)
         gram = gram[order]
-        begins = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        often = np.diff(np.append(begins, len(gram)))
+        new = np.ones(len(gram), bool)
+        np.not_equal(gram[1:], gram[:-1], out=new[1:])
         del gram
+        begins = np.flatnonzero(new)
+        often = np.full(len(begins), len(new))
+        often[:-1] = begins[1:]
+        often -= begins
+        del begins, new
         several = np.flatnonzero(often > 1)
         rank = np.full(len(often), -1, np.int32)
         rank[several[np.argsort(often[several], kind="stable")]] = np.arange(len(several), dtype=np.int32)

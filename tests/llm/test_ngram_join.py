@@ -236,3 +236,20 @@ def test_classes_hold_every_link(spark, monkeypatch):
         assert J.classes(frame(spark, rows).limit(0)).count() == 0
     finally:
         cloudpickle.unregister_pickle_by_value(J)
+
+
+def test_a_range_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    draw = lambda: np.diff(np.sort(r.integers(0, 2**62, 50_000, dtype=np.uint64)), prepend=np.uint64(0))
+    blob = [blobs.pack(draw(), r.integers(0, 9999, 50_000).astype(np.uint32)) for _ in range(20)]
+    table = pa.table({"lot": list(range(20)), "range": [0] * 20, "blob": pa.array(blob, pa.binary())})
+    tracemalloc.start()
+    try:
+        J._shared(1)(table)
+        assert tracemalloc.get_traced_memory()[1] < 38 * 1_000_000  # bytes a posting; it was 44
+    finally:
+        tracemalloc.stop()
