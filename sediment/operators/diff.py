@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import deltas as D
-from ..sources.shared import written
+from ..sources.shared import is_few, join_few, written
 
 PAIR = ("source_key", "from_snapshot", "to_snapshot")
 KINDS = {
@@ -53,12 +53,16 @@ def pairs(snapshots: DataFrame) -> DataFrame:
 def record_status(pairs: DataFrame, observations: DataFrame) -> DataFrame:
     """Each record of each pair: ``same``, ``revised``, ``departed`` or ``arrived``, with both hashes."""
     # a pair that shares one stored observation has no record that differs, and is read once
-    differ = pairs.where("from_owner <> to_owner")
-    side = lambda owner, name: differ.select(*PAIR, F.col(owner).alias("snapshot_id")).join(observations.select("snapshot_id", "row_uid", F.col("content_hash").alias(name)), "snapshot_id").drop("snapshot_id")
-    both = side("from_owner", "before_hash").join(side("to_owner", "after_hash"), [*PAIR, "row_uid"], "full_outer")
+    differ, fits = pairs.where("from_owner <> to_owner"), is_few(pairs)
+
+    def side(which: DataFrame, owner: str, name: str) -> DataFrame:
+        rows = observations.select("snapshot_id", "row_uid", F.col("content_hash").alias(name))
+        return join_few(rows, which.select(*PAIR, F.col(owner).alias("snapshot_id")), "snapshot_id", "row_uid", fits).select(*PAIR, "row_uid", name)
+
+    both = side(differ, "from_owner", "before_hash").join(side(differ, "to_owner", "after_hash"), [*PAIR, "row_uid"], "full_outer")
     status = F.when(F.col("before_hash").isNull(), "arrived").when(F.col("after_hash").isNull(), "departed").when(F.col("before_hash") == F.col("after_hash"), "same").otherwise("revised")
     found = both.withColumn("status", status)
-    alike = pairs.where("from_owner = to_owner").select(*PAIR, F.col("from_owner").alias("snapshot_id")).join(observations.select("snapshot_id", "row_uid", F.col("content_hash").alias("before_hash")), "snapshot_id").drop("snapshot_id")
+    alike = side(pairs.where("from_owner = to_owner"), "from_owner", "before_hash")
     return found.unionByName(alike.withColumn("after_hash", F.col("before_hash")).withColumn("status", F.lit("same")))
 
 
@@ -244,7 +248,7 @@ def mark_coordinated(changes: DataFrame) -> DataFrame:
 
 def last_seen(snapshots: DataFrame, observations: DataFrame) -> DataFrame:
     """The last stored observation that holds each record."""
-    return observations.join(snapshots.select("snapshot_id", "source_key"), "snapshot_id").groupBy("source_key", "row_uid").agg(F.max("snapshot_id").alias("last_snapshot"))
+    return join_few(observations.select("snapshot_id", "row_uid"), snapshots.select("snapshot_id", "source_key"), "snapshot_id", "row_uid").groupBy("source_key", "row_uid").agg(F.max("snapshot_id").alias("last_snapshot"))
 
 
 def volumes(status: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sediment.functions.deltas import DELTAS
 from sediment.operators import diff, volatility
 from sediment.plans.analysis import analyse
+from sediment.sources import shared
 
 CHANGE = f"source_key string, from_snapshot long, to_snapshot long, kind string, row_uid string, before_hash string, after_hash string, field_deltas {DELTAS}, significance double, detail string"
 
@@ -129,3 +132,21 @@ def test_dependency_keeps_one_direction(spark):
     none = spark.createDataFrame([], "source_key string, field string, verdict string")
     assert [(r.field, r.driver, r.observations) for r in volatility.field_dependency(d, none).collect()] == [("open_days", "closed_on", 9)]
     assert volatility.field_dependency(d.limit(7), none).count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_no_task_gets_all_records_of_an_observation(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+    pairs = spark.createDataFrame([("s", 1, 2, 1, 2), ("s", 2, 3, 2, 2)], "source_key string, from_snapshot long, to_snapshot long, from_owner long, to_owner long")
+    obs = spark.range(6000).selectExpr("1 + id % 2 AS snapshot_id", "cast(id div 2 AS string) AS row_uid", "cast(if(id = 7, 0, id div 2) AS string) AS content_hash")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        status = diff.record_status(pairs, obs)
+        plan = status._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert not re.search(r"SortMergeJoin \[snapshot_id#\d+L?\], \[snapshot_id", plan) and ("BroadcastHashJoin" in plan) is (most > 0)
+    assert {(r.from_snapshot, r.status): r.n for r in status.groupBy("from_snapshot", "status").agg(F.count("*").alias("n")).collect()} == {(1, "same"): 2999, (1, "revised"): 1, (2, "same"): 3000}
+    seen = diff.last_seen(spark.createDataFrame([(1, "s"), (2, "s")], "snapshot_id long, source_key string"), obs)
+    assert seen.where("last_snapshot = 2 AND source_key = 's'").count() == seen.count() == 3000
