@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import join_few
 from .archive import dangling_pointers
 from .diff import KINDS
-from .merkle import merkle_proofs, merkle_roots, proof_leads_to, ranked_leaves, verify_chains
+from .merkle import merkle_proofs, merkle_roots, proof_leads_to, ranked, verify_chains
 
 PER_KIND = 30
 LIMIT = 420
@@ -73,13 +74,19 @@ def sources_table(sources: DataFrame, snapshots: DataFrame) -> DataFrame:
 def owned(snapshots: DataFrame, observations: DataFrame) -> DataFrame:
     """The records of every good snapshot, those of a pointer from their owner."""
     ok = snapshots.where("status = 'ok'").select("snapshot_id", F.coalesce("observations_ref", "snapshot_id").alias("owner"))
-    return ok.join(observations.withColumnRenamed("snapshot_id", "owner"), "owner").drop("owner")
+    return join_few(observations.withColumnRenamed("snapshot_id", "owner"), ok, "owner", "row_uid").drop("owner")
 
 
-def inclusion_proofs(snapshots: DataFrame, observations: DataFrame, count: int = 3) -> DataFrame:
-    """Worked proofs of the middle record of the largest snapshots, and whether one with another leaf fails as it must."""
+def inclusion_proofs(snapshots: DataFrame, observations: DataFrame, count: int = 3, leaves: DataFrame | None = None) -> DataFrame:
+    """Worked proofs of the middle record of the largest snapshots, and whether one with another leaf fails as it must.
+
+    ``leaves`` are all snapshots' ranked leaves, where there are some already.
+    """
     big = snapshots.where("status = 'ok' AND row_count > 4").orderBy(F.desc("row_count"), "snapshot_id").limit(count).select("snapshot_id", "merkle_root", "row_count")
-    leaves = ranked_leaves(owned(snapshots.join(big.select("snapshot_id"), "snapshot_id", "left_semi"), observations))
+    if leaves is None:
+        leaves = ranked(owned(snapshots.join(big.select("snapshot_id"), "snapshot_id", "left_semi"), observations), keep_uid=False)
+    else:
+        leaves = leaves.join(F.broadcast(big.select("snapshot_id")), "snapshot_id", "left_semi")  # ``count`` rows
     middle = big.select("snapshot_id", F.floor(F.col("row_count") / 2).cast("long").alias("pos"))
     proofs = merkle_proofs(leaves, middle).withColumnRenamed("merkle_root", "recomputed_root").join(big, "snapshot_id")
     good = proof_leads_to(F.col("leaf"), F.col("proof"), F.col("merkle_root"))
@@ -90,14 +97,18 @@ def inclusion_proofs(snapshots: DataFrame, observations: DataFrame, count: int =
 def verify(snapshots: DataFrame, observations: DataFrame, blobs_json: DataFrame) -> DataFrame:
     """One row for each check: what was checked, and how much of it failed.
 
-    ``blobs_json`` is content_hash and the canonical JSON that it should be the hash of; all of it is hashed again.
+    ``blobs_json`` is content_hash and the canonical JSON that it should be the hash of; all of it is hashed again. A blob
+    that is there more than once counts once, and fails if any copy does.
     """
     ok = snapshots.where("status = 'ok'")
     row = lambda df, name: df.agg(F.count(F.lit(1)).alias("checked"), F.count(F.when(~F.col("fine"), 1)).alias("failed")).select(F.lit(name).alias("check"), "checked", "failed", (F.col("failed") == 0).alias("ok"))
-    again = merkle_roots(ranked_leaves(owned(snapshots, observations))).withColumnRenamed("merkle_root", "again")
+    leaves = ranked(owned(snapshots, observations), keep_uid=False)
+    again = merkle_roots(leaves).withColumnRenamed("merkle_root", "again")
     roots = ok.join(again, "snapshot_id", "left").select(F.coalesce(F.col("again") == F.col("merkle_root"), F.col("row_count") == 0).alias("fine"))
-    blobs = blobs_json.select((F.sha2(F.col("payload_json").cast("binary"), 256) == F.col("content_hash")).alias("fine"))
-    proofs = inclusion_proofs(snapshots, observations).select((F.col("valid") & F.col("forgery_rejected")).alias("fine"))
+    # hashed where they are, so that only hashes are shuffled; what can't be hashed isn't fine
+    each = blobs_json.select(F.coalesce(F.unhex("content_hash"), F.col("content_hash").cast("binary")).alias("hash"), F.coalesce(F.sha2(F.col("payload_json").cast("binary"), 256) == F.col("content_hash"), F.lit(False)).alias("fine"))
+    blobs = each.groupBy("hash").agg(F.min("fine").alias("fine"))
+    proofs = inclusion_proofs(snapshots, observations, leaves=leaves).select((F.col("valid") & F.col("forgery_rejected")).alias("fine"))
     pointers = ok.where("observations_ref IS NOT NULL").join(dangling_pointers(ok).select("snapshot_id", F.lit(False).alias("_fine")), "snapshot_id", "left").select(F.coalesce("_fine", F.lit(True)).alias("fine"))
     out = row(verify_chains(ok).select(F.col("ok").alias("fine")), "chains")
     for name, df in (("merkle_roots", roots), ("blobs", blobs), ("inclusion_proofs", proofs), ("dedup_pointers", pointers)):

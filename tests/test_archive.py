@@ -154,3 +154,11 @@ def test_portal_reader_covers_every_row_once():
     r = portal.PortalReader({"domain": "d", "dataset": "x", "page": "500", "readers": "3"}, lambda: portal.Client(fake, pause=0))
     got = [json.loads(t[0])["id"] for p in r.partitions() for t in r.read(p)]
     assert sorted(got) == list(range(4321)) and len(r.partitions()) == 3
+
+
+def test_a_blob_that_is_there_twice_counts_once(spark, arc):
+    arc.commit("s", 1, "2024-01-01", rows(spark, twenty()), ["case"])
+    blobs = arc.table("blobs").select("content_hash", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("payload")))).alias("payload_json"))
+    for again, failed in ((blobs, 0), (blobs.limit(1).withColumn("payload_json", F.lit("{}")), 1)):
+        checks = {r.check: (r.checked, r.failed) for r in report.verify(arc.table("snapshots"), arc.table("observations"), blobs.unionByName(again)).collect()}
+        assert checks["blobs"] == (20, failed) and checks["inclusion_proofs"] == (1, 0) and checks["merkle_roots"] == (1, 0)
