@@ -23,10 +23,11 @@ LEAST_MOVES = 8
 
 def field_moves(deltas: DataFrame) -> DataFrame:
     """Per pair and field: records in which the field moved, and the pair's records."""
-    each = deltas.where(F.size("deltas") > 0)
-    total = each.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("total"))
-    moved = each.select(*PAIR, F.explode(F.map_keys("deltas")).alias("field")).groupBy(*PAIR, "field").agg(F.count(F.lit(1)).alias("n"))
-    return moved.join(total, [*PAIR])
+    # one pass: records with the same fields are counted first, and a null among the fields stands for all of them
+    shapes = deltas.where(F.size("deltas") > 0).groupBy(*PAIR, F.map_keys("deltas").alias("fields")).agg(F.count(F.lit(1)).alias("times"))
+    n = shapes.select(*PAIR, "times", F.explode(F.concat("fields", F.array(F.lit(None).cast("string")))).alias("field")).groupBy(*PAIR, "field").agg(F.sum("times").alias("n"))
+    by = n.groupBy(*PAIR).agg(F.max(F.when(F.col("field").isNull(), F.col("n"))).alias("total"), F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "n"))).alias("moved"))
+    return by.select(*PAIR, "total", F.explode("moved").alias("m")).select(*PAIR, "m.field", "m.n", "total")
 
 
 def field_volatility(moves: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def analyse(snapshots: DataFrame, observations: DataFrame, blobs: DataFrame, ver
     deltas = written(diff.record_deltas(moved, blobs), "deltas")
     seen = diff.last_seen(snapshots, observations)
     blind = diff.record_changes(moved, deltas, seen, diff.Controls(verdicts=verdicts), drift, modes, tables)
-    moves = volatility.field_moves(deltas)
+    moves = written(volatility.field_moves(deltas), "moves")
     learned = written(volatility.field_volatility(moves), "volatility")
     stability = written(volatility.source_stability(moves, learned, snapshots), "stability")
     dependency = written(volatility.field_dependency(deltas, learned), "dependency")

@@ -150,3 +150,10 @@ def test_no_task_gets_all_records_of_an_observation(spark, monkeypatch, most):
     assert {(r.from_snapshot, r.status): r.n for r in status.groupBy("from_snapshot", "status").agg(F.count("*").alias("n")).collect()} == {(1, "same"): 2999, (1, "revised"): 1, (2, "same"): 3000}
     seen = diff.last_seen(spark.createDataFrame([(1, "s"), (2, "s")], "snapshot_id long, source_key string"), obs)
     assert seen.where("last_snapshot = 2 AND source_key = 's'").count() == seen.count() == 3000
+
+
+def test_field_moves_read_the_deltas_once(spark):
+    data = [("s", 1, 2, {k: ("1", "2") for k in fields}) for fields in ("ab", "ba", "a", "", "bc")] + [("t", 1, 2, {"a": ("1", "2")})]
+    moves = volatility.field_moves(spark.createDataFrame(data, f"source_key string, from_snapshot long, to_snapshot long, deltas {DELTAS}"))
+    assert {(r.source_key, r.field, r.n, r.total) for r in moves.collect()} == {("s", "a", 3, 4), ("s", "b", 3, 4), ("s", "c", 1, 4), ("t", "a", 1, 1)}
+    assert "Join" not in moves._jdf.queryExecution().optimizedPlan().toString()
