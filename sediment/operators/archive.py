@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.records import fingerprint, roles, sha256
 from ..sources.shared import discard, written
-from .merkle import EMPTY_ROOT, GENESIS, chain_hash, merkle_roots, ranked_leaves
+from .merkle import EMPTY_ROOT, GENESIS, chain_hash, merkle_roots, ranked
 
 SCHEMAS = {
     "sources": "source_key string, domain string, dataset string, title string, city string, category string, date_field string, business_key array<string>, stratum_start string, stratum_end string, extra_volatile array<string>, agg_dimensions array<string>, pipeline_class string, notes string, added_at string",
@@ -136,19 +136,25 @@ def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def first_arrival(prints: DataFrame, arrival: str | None = None) -> DataFrame:
-    """One row of each identity: the first to arrive, or the one with the least hash where arrival isn't known."""
-    best = F.struct(*([F.col(arrival)] if arrival else []), "content_hash", "volatile_hash")
-    return prints.groupBy("row_uid").agg(F.min_by(F.struct("content", "content_hash", "volatile_hash"), best).alias("r")).select("row_uid", F.col("r.content").alias("payload"), "r.content_hash", "r.volatile_hash")
+def first_arrival(prints: DataFrame, arrival: str | None = None, content: Column | None = None) -> DataFrame:
+    """One row of each identity: the first to arrive, or the one with the least hash where arrival isn't known.
+
+    ``content`` is the part of the content that is wanted, all by default: what isn't wanted isn't shuffled. Identities are
+    brought together before rows are compared, as the few copies of one are seldom in one task, and to sort rows on both
+    sides of the shuffle for them costs more. Hashes go as bytes, whose order is that of their text.
+    """
+    text = lambda h: F.lower(F.hex(h))
+    rows = prints.select("row_uid", *([F.col(arrival).alias("arrival")] if arrival else []), F.unhex("content_hash").alias("content_hash"), F.unhex("volatile_hash").alias("volatile_hash"), (F.col("content") if content is None else content).alias("payload"))
+    best = F.struct(*(["arrival"] if arrival else []), "content_hash", "volatile_hash")
+    one = rows.repartition("row_uid").groupBy("row_uid").agg(F.min_by(F.struct("payload", "content_hash", "volatile_hash"), best).alias("r"))
+    return one.select("row_uid", F.col("r.payload").alias("payload"), text(F.col("r.content_hash")).alias("content_hash"), text(F.col("r.volatile_hash")).alias("volatile_hash"))
 
 
 def roots(one: DataFrame) -> tuple[str, int, str]:
     """Content root, number of records, and a digest of all write bookkeeping: the root over its hashes."""
-    group = one.withColumn("snapshot_id", F.lit(0))
-    leaves = ranked_leaves(group)
-    content = merkle_roots(leaves).first()
-    volatile = merkle_roots(ranked_leaves(group.select("snapshot_id", "row_uid", F.col("volatile_hash").alias("content_hash")))).first()
-    return (content[1], leaves.count(), volatile[1]) if content else (EMPTY_ROOT, 0, EMPTY_ROOT)
+    leaves = ranked(one.withColumn("snapshot_id", F.lit(0)), leaves={"content": "content_hash", "bookkeeping": "volatile_hash"}, keep_uid=False)
+    found = merkle_roots(leaves, columns=("content", "bookkeeping")).first()
+    return (found["content"], leaves.count(), found["bookkeeping"]) if found else (EMPTY_ROOT, 0, EMPTY_ROOT)
 
 
 def new_blobs(one: DataFrame, blobs: DataFrame) -> DataFrame:

@@ -162,3 +162,17 @@ def test_a_blob_that_is_there_twice_counts_once(spark, arc):
     for again, failed in ((blobs, 0), (blobs.limit(1).withColumn("payload_json", F.lit("{}")), 1)):
         checks = {r.check: (r.checked, r.failed) for r in report.verify(arc.table("snapshots"), arc.table("observations"), blobs.unionByName(again)).collect()}
         assert checks["blobs"] == (20, failed) and checks["inclusion_proofs"] == (1, 0) and checks["merkle_roots"] == (1, 0)
+
+
+def test_first_arrivals_shuffle_what_is_wanted_once(spark):
+    from sediment.functions.records import fingerprint
+
+    data = spark.createDataFrame([(k % 50, k % 7, k) for k in range(300)], "case long, ward long, at long")
+    prints = fingerprint(data, ["case"], keep=["at"])
+    want = {str(c): str(min(k for k in range(300) if k % 50 == c) % 7) for c in range(50)}
+    whole, part = A.first_arrival(prints, "at"), A.first_arrival(prints, "at", F.col("content")["ward"])
+    assert {r.row_uid: r.payload["ward"] for r in whole.collect()} == {r.row_uid: r.payload for r in part.collect()} == want
+    stored = {(r.row_uid, r.content_hash, r.volatile_hash) for r in prints.collect()}
+    assert all((r.row_uid, r.content_hash, r.volatile_hash) in stored for r in whole.collect())
+    plan = A.first_arrival(prints, "at", F.col("content")["ward"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("partial_min_by") < plan.index("Exchange")
