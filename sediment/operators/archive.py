@@ -101,7 +101,9 @@ class Archive:
         if ref is None:
             self._append_blobs(one, owner)
             stored = self.table("observations").where(F.col("snapshot_id") == snapshot_id)
-            self.append("observations", one.withColumn("snapshot_id", F.lit(snapshot_id)).join(stored, "row_uid", "left_anti"))
+            records = one.select("row_uid", "content_hash", "volatile_hash", F.lit(snapshot_id).alias("snapshot_id"))
+            # there are some only if an attempt ended before its snapshot's row
+            self.append("observations", records.join(stored, "row_uid", "left_anti") if stored.limit(1).count() else records)
         if tallies is not None and not self.table("tallies").where(F.col("snapshot_id") == snapshot_id).limit(1).count():
             self.append("tallies", tallies.withColumn("snapshot_id", F.lit(snapshot_id)).withColumn("source_key", F.lit(source_key)))
         link = row.first()["chain_hash"]
@@ -112,14 +114,14 @@ class Archive:
     def _append_blobs(self, one: DataFrame, owner: int | None) -> None:
         """Append the payloads that the archive lacks. Most of an observation is in the one before, whose hashes are few
         to read; of the blobs, only those partitions are read that the rest could be in."""
-        fresh = one
+        fresh = one.select("content_hash", "payload", F.substring("content_hash", 1, 2).alias("prefix"))
         if owner is not None:
-            fresh = one.join(self.table("observations").where(F.col("snapshot_id") == owner).select("content_hash"), "content_hash", "left_anti")
-        fresh = written(fresh.select("content_hash", "payload", F.substring("content_hash", 1, 2).alias("prefix")), "fresh")
+            fresh = written(without_hashes(fresh, self.table("observations").where(F.col("snapshot_id") == owner)), "fresh")
         prefixes = [r[0] for r in fresh.select("prefix").distinct().collect()]  # 256 at most
         known = self.table("blobs").where(F.col("prefix").isin(*prefixes)) if prefixes else self.table("blobs").limit(0)
         self.append("blobs", new_blobs(fresh, known).withColumn("prefix", F.substring("content_hash", 1, 2)))
-        discard(fresh)
+        if owner is not None:
+            discard(fresh)
 
     def fail(self, source_key: str, snapshot_id: int, captured_at: str, error: str) -> None:
         """An attempt that failed is on record too."""
@@ -152,14 +154,26 @@ def first_arrival(prints: DataFrame, arrival: str | None = None, content: Column
 
 def roots(one: DataFrame) -> tuple[str, int, str]:
     """Content root, number of records, and a digest of all write bookkeeping: the root over its hashes."""
-    leaves = ranked(one.withColumn("snapshot_id", F.lit(0)), leaves={"content": "content_hash", "bookkeeping": "volatile_hash"}, keep_uid=False)
+    leaves = ranked(one.withColumn("snapshot_id", F.lit(0)), leaves={"content": "content_hash", "bookkeeping": "volatile_hash"}, keep_uid=False, digests=True)
     found = merkle_roots(leaves, columns=("content", "bookkeeping")).first()
     return (found["content"], leaves.count(), found["bookkeeping"]) if found else (EMPTY_ROOT, 0, EMPTY_ROOT)
 
 
+def without_hashes(blobs: DataFrame, known: DataFrame, once: bool = False) -> DataFrame:
+    """The blobs whose ``content_hash`` isn't known, each ``once`` if so asked.
+
+    Hashes are 64 digits and are joined as 32 bytes; both steps take one shuffle of the payloads, before rows are sorted.
+    """
+    digest = F.unhex("content_hash").alias("content_hash")
+    rest = blobs.select(digest, *[c for c in blobs.columns if c != "content_hash"])
+    if once:
+        rest = rest.repartition("content_hash").dropDuplicates(["content_hash"])
+    return rest.join(known.select(digest), "content_hash", "left_anti").withColumn("content_hash", F.lower(F.hex("content_hash")))
+
+
 def new_blobs(one: DataFrame, blobs: DataFrame) -> DataFrame:
     """Payloads that the archive doesn't have yet, each once."""
-    return one.select("content_hash", "payload").dropDuplicates(["content_hash"]).join(blobs.select("content_hash"), "content_hash", "left_anti")
+    return without_hashes(one.select("content_hash", "payload"), blobs, once=True)
 
 
 def pointer_owner(snapshots: DataFrame) -> DataFrame:

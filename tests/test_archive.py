@@ -176,3 +176,18 @@ def test_first_arrivals_shuffle_what_is_wanted_once(spark):
     assert all((r.row_uid, r.content_hash, r.volatile_hash) in stored for r in whole.collect())
     plan = A.first_arrival(prints, "at", F.col("content")["ward"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.rindex("partial_min_by") < plan.index("Exchange")
+
+
+def test_blobs_are_joined_by_bytes_and_an_attempt_that_ended_early_adds_the_rest(spark, arc):
+    one = spark.createDataFrame([("ab" * 32, {"x": "1"}), ("ab" * 32, {"x": "1"}), ("cd" * 32, {"x": "2"})], "content_hash string, payload map<string,string>")
+    new = A.new_blobs(one, one.where("payload['x'] = '2'"))
+    assert [(r.content_hash, r.payload) for r in new.collect()] == [("ab" * 32, {"x": "1"})]
+    assert "unhex" in new._jdf.queryExecution().optimizedPlan().toString()
+    arc.commit("s", 1, "2024-01-01", rows(spark, twenty()), ["case"])
+    arc.clear("snapshots")
+    part = arc.table("observations").where("row_uid < 'A5'").cache()
+    n = part.count()
+    arc.clear("observations")
+    arc.append("observations", part)
+    arc.commit("s", 1, "2024-01-01", rows(spark, twenty()), ["case"])
+    assert 0 < n < 20 and arc.table("observations").count() == arc.table("observations").select("row_uid").distinct().count() == arc.table("blobs").count() == 20
