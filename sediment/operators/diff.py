@@ -67,8 +67,13 @@ def record_status(pairs: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def record_deltas(status: DataFrame, blobs: DataFrame) -> DataFrame:
-    """The revised records with their field deltas; ``blobs`` is content_hash, payload."""
+    """The revised records with their field deltas; ``blobs`` is content_hash, payload, and may have a blob more than once.
+
+    Blobs of records that didn't move are left out before copies are sought, and no payloads are sorted before a shuffle.
+    """
     moved = status.where("status = 'revised'").drop("status")
+    wanted = moved.select(F.explode(F.array("before_hash", "after_hash")).alias("content_hash")).distinct()
+    blobs = blobs.select("content_hash", "payload").join(wanted, "content_hash", "left_semi").repartition("content_hash").dropDuplicates(["content_hash"])
     side = lambda name: blobs.select(F.col("content_hash").alias(f"{name}_hash"), F.col("payload").alias(f"{name}_payload"))
     empty = F.create_map().cast("map<string,string>")
     with_both = moved.join(side("before"), "before_hash", "left").join(side("after"), "after_hash", "left")

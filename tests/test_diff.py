@@ -157,3 +157,13 @@ def test_field_moves_read_the_deltas_once(spark):
     moves = volatility.field_moves(spark.createDataFrame(data, f"source_key string, from_snapshot long, to_snapshot long, deltas {DELTAS}"))
     assert {(r.source_key, r.field, r.n, r.total) for r in moves.collect()} == {("s", "a", 3, 4), ("s", "b", 3, 4), ("s", "c", 1, 4), ("t", "a", 1, 1)}
     assert "Join" not in moves._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deltas_need_no_payload_of_what_stayed_and_sort_none_before_the_shuffle(spark):
+    status = spark.createDataFrame([("s", 1, 2, "u", "a", "b", "revised"), ("s", 1, 2, "v", "c", "c", "same"), ("s", 1, 2, "w", "a", "z", "revised")], "source_key string, from_snapshot long, to_snapshot long, row_uid string, before_hash string, after_hash string, status string")
+    blobs = spark.createDataFrame([("a", {"x": "1", "y": "0"}), ("b", {"x": "2", "y": "0"}), ("a", {"x": "1", "y": "0"}), ("c", {"x": "9"})], "content_hash string, payload map<string,string>")
+    deltas = diff.record_deltas(status, blobs)
+    got = {r.row_uid: {k: (v.before, v.after) for k, v in r.deltas.items()} for r in deltas.collect()}
+    assert got == {"u": {"x": ("1", "2")}, "w": {"x": ("1", None), "y": ("0", None)}} and deltas.count() == 2
+    plan = diff.record_deltas(status, blobs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "RepartitionByExpression [content_hash" in plan
